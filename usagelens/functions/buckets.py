@@ -1,17 +1,14 @@
 """Bucket families of the usage reports.
 
-A family turns an integer measure into an ordinal.  Bounds are upper-inclusive; where a family has a
-zero bucket it holds exactly zero.  Values that no bucket covers (NULL, or zero in a family without
-a zero bucket) get a NULL ordinal: they still count in a group's total.
+A family splits an integer measure into ranges.  Bounds are upper-inclusive; where a family has a zero
+bucket it holds exactly zero.  Values that no bucket covers (NULL, or zero in a family without a zero
+bucket) still count in a group's total.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .fixed_point import GB, MB, TB
 
 
@@ -37,12 +34,16 @@ class BucketFamily:
         """Texts led by their ordinal, as the histograms show them."""
         return [f"{i}: {text}" for i, text in zip(self.ordinals, self.texts)]
 
-    def ordinal(self, value: Column) -> Column:
-        at_zero = F.lit(0) if self.has_zero_bucket else F.lit(None).cast("int")
-        column = F.when(value == 0, at_zero).when(value < 0, F.lit(None).cast("int"))
-        for position, bound in enumerate(self.bounds, start=1):
-            column = column.when(value <= bound, F.lit(position))
-        return column.when(value > self.bounds[-1], F.lit(len(self.bounds) + 1))
+    def conditions(self, value: str) -> list[str]:
+        """One SQL predicate per bucket.
+
+        Plain predicates inside the aggregates compile to small methods; a CASE ladder giving the
+        ordinal would be inlined into one method that HotSpot refuses to compile.
+        """
+        lows = (0, *self.bounds)
+        found = [f"{value} = 0"] if self.has_zero_bucket else []
+        found += [f"{value} > {low}L AND {value} <= {high}L" for low, high in zip(lows, self.bounds)]
+        return [*found, f"{value} > {self.bounds[-1]}L"]
 
 
 # Bucket bounds and bucket texts are part of the report contract.

@@ -6,18 +6,17 @@ engine to engine (145 ms is 0.14 s or 0.15 s), so every helper here works on int
 smallest unit.  Per-row helpers stay on ``bigint`` and inside generated code; helpers for aggregated
 values use ``decimal(38,0)``, which costs nothing on a handful of rows.
 
+The helpers take and return SQL expressions as text, for ``selectExpr`` and ``expr``: a report of a
+hundred columns is then sent to the JVM as a hundred strings and not as thousands of calls.
+
 All measures (bytes, milliseconds, partitions, counts) are non-negative.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
 from fractions import Fraction
 from math import ceil, floor
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MB = 1 << 20
 GB = 1 << 30
 TB = 1 << 40
@@ -31,88 +30,74 @@ MICROS_PER_PERCENT = 10_000
 _LIMB_BITS = 20
 
 
-def _wide(value: Column | int) -> Column:
-    column = F.lit(value) if isinstance(value, int) else value
-    return column.cast("decimal(38,0)")
-
-
-def integer_divide(numerator: Column, denominator: Column) -> Column:
-    """Truncating division; NULL on a zero divisor, also in ANSI mode."""
-    return F.call_function("div", numerator, F.nullif(denominator, F.lit(0)))
-
-
-def divide_half_up(numerator: Column, denominator: Column | int, digits: int = 0) -> Column:
+def divide_half_up(numerator: str, denominator: str | int, digits: int = 0) -> str:
     """``numerator / denominator`` in units of ``10**-digits``, rounded half up, as ``bigint``.
 
-    The inputs keep their types: pass ``bigint`` for row-level work.
+    NULL on a zero divisor, also in ANSI mode.
     """
+    factor = 2 * 10**digits
     if isinstance(denominator, int):
-        doubled = F.lit(2 * denominator)
-        half = F.lit(denominator)
-    else:
-        doubled = denominator * 2
-        half = denominator
-    return integer_divide(numerator * (2 * 10**digits) + half, doubled)
+        return f"((({numerator}) * {factor}L + {denominator}L) div {2 * denominator}L)"
+    return f"((({numerator}) * {factor}L + ({denominator})) div nullif(({denominator}) * 2, 0))"
 
 
-def as_decimal(units: Column, digits: int) -> Column:
+def as_decimal(units: str, digits: int) -> str:
     """Turn a count of ``10**-digits`` units into ``decimal(18, digits)``."""
-    whole = units.cast("decimal(18,0)")
     if digits == 0:
-        return whole
-    return (whole * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(18,{digits})")
+        return f"CAST({units} AS DECIMAL(18,0))"
+    unit = f"0.{'0' * (digits - 1)}1"
+    return f"CAST(CAST({units} AS DECIMAL(18,0)) * {unit}BD AS DECIMAL(18,{digits}))"
 
 
-def scaled(value: Column, unit: int, digits: int) -> Column:
-    """Row-level ``round(value / unit, digits)`` for a ``bigint`` column."""
+def scaled(value: str, unit: int, digits: int) -> str:
+    """Row-level ``round(value / unit, digits)`` of a ``bigint`` value."""
     return as_decimal(divide_half_up(value, unit, digits), digits)
 
 
-def scaled_total(total: Column, divisor: Column | int, digits: int) -> Column:
-    """``round(total / divisor, digits)`` for an aggregated value of any size."""
-    return as_decimal(divide_half_up(_wide(total), _wide(divisor), digits), digits)
+def scaled_total(total: str, divisor: str | int, digits: int) -> str:
+    """``round(total / divisor, digits)`` of an aggregated value of any size."""
+    wide = f"CAST({total} AS DECIMAL(38,0))"
+    return as_decimal(divide_half_up(wide, f"CAST({divisor} AS DECIMAL(38,0))", digits), digits)
 
 
-def ratio_micros(part: Column, whole: Column) -> Column:
+def ratio_micros(part: str, whole: str) -> str:
     """``part / whole`` in millionths; NULL when ``whole`` is zero or either side is NULL."""
-    return integer_divide(part * (2 * MICROS) + whole, whole * 2)
+    return divide_half_up(part, whole, 6)
 
 
-def percent_of_micros(micros: Column, digits: int) -> Column:
-    """A ratio in millionths as a decimal percentage with ``digits`` decimals."""
-    return as_decimal(divide_half_up(micros, MICROS_PER_PERCENT, digits), digits)
+def percent_text(part: str, whole: str, digits: int) -> str:
+    """Share of ``part`` in ``whole`` as text with a fixed number of decimals, e.g. ``12.50%``.
 
-
-def percent_text(part: Column, whole: Column, digits: int) -> Column:
-    """Share of ``part`` in ``whole`` as text with a fixed number of decimals, e.g. ``12.50%``."""
-    percent = percent_of_micros(ratio_micros(part, whole), digits)
-    return F.concat(percent.cast("string"), F.lit("%"))
+    The ratio is rounded to six decimals first, the percentage after that.
+    """
+    percent = as_decimal(divide_half_up(ratio_micros(part, whole), MICROS_PER_PERCENT, digits), digits)
+    return f"concat(CAST({percent} AS STRING), '%')"
 
 
-def exact_sum(value: Column) -> Column:
-    """Exact sum of a ``bigint`` column as ``decimal``, without overflow.
+def exact_sum(value: str) -> str:
+    """Exact sum of a ``bigint`` value as a decimal, without overflow.
 
     Byte totals of a large fleet pass 2**63, and a decimal accumulator allocates per row.  Two
     ``bigint`` sums, one of the high part and one of the low 20 bits, cannot overflow below 2**43
     rows and are added up once per group.
     """
-    high = F.sum(F.shiftright(value, _LIMB_BITS)).cast("decimal(20,0)")
-    low = F.sum(value.bitwiseAND(F.lit((1 << _LIMB_BITS) - 1))).cast("decimal(20,0)")
-    return high * F.lit(1 << _LIMB_BITS) + low
+    high = f"sum(shiftright({value}, {_LIMB_BITS}))"
+    low = f"sum(({value}) & {(1 << _LIMB_BITS) - 1}L)"
+    return f"(CAST({high} AS DECIMAL(20,0)) * {1 << _LIMB_BITS}L + CAST({low} AS DECIMAL(20,0)))"
 
 
-def human_bytes(total: Column, count: Column) -> Column:
+def human_bytes(total: str, count: str) -> str:
     """Mean size ``total / count`` in the largest fitting unit with one decimal.
 
     Sizes under 1 KB are given as plain bytes.  NULL when ``count`` is zero.
     """
-    total, count = _wide(total), _wide(count)
-    text = None
-    for unit, name in ((TB, " TB"), (GB, " GB"), (MB, " MB"), (1 << 10, " KB")):
-        fits = total >= count * unit
-        shown = F.concat(scaled_total(total, count * unit, 1).cast("string"), F.lit(name))
-        text = F.when(fits, shown) if text is None else text.when(fits, shown)
-    return F.when(count > 0, text.otherwise(scaled_total(total, count, 1).cast("string")))
+    branches = []
+    for unit, name in ((TB, "TB"), (GB, "GB"), (MB, "MB"), (1 << 10, "KB")):
+        weight = f"CAST({count} AS DECIMAL(20,0)) * {unit}L"
+        shown = f"concat(CAST({scaled_total(total, weight, 1)} AS STRING), ' {name}')"
+        branches.append(f"WHEN {total} >= {weight} THEN {shown}")
+    plain = f"CAST({scaled_total(total, count, 1)} AS STRING)"
+    return f"CASE WHEN {count} = 0 THEN NULL {' '.join(branches)} ELSE {plain} END"
 
 
 def smallest_raw_rounding_above(minimum: object, unit: int, digits: int) -> int:

@@ -87,12 +87,10 @@ class Period:
         low, high = (F.lit(t.date().isoformat()).cast(kind) for t in (self.begin, self.end))
         return df.where((F.col(column) >= low) & (F.col(column) <= high))
 
-    def local_time(self, df: DataFrame, column: str = "start_time") -> Column:
-        """The stored time as wall clock of the report zone."""
-        if _has_instants(df, column):
-            wall_clock = F.col(column).cast("timestamp_ntz")
-            return F.convert_timezone(F.current_timezone(), F.lit(self.zone), wall_clock)
-        return F.convert_timezone(F.lit("UTC"), F.lit(self.zone), F.col(column))
+    def local_time(self, df: DataFrame, column: str = "start_time") -> str:
+        """SQL expression: the stored time as wall clock of the report zone."""
+        stored_zone = "current_timezone()" if _has_instants(df, column) else "'UTC'"
+        return f"convert_timezone({stored_zone}, '{self.zone}', CAST({column} AS TIMESTAMP_NTZ))"
 
 
 def default_period(today: date, zone: str = REPORT_ZONE) -> Period:

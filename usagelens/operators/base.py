@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.period import Period
@@ -23,11 +23,11 @@ def of_warehouse(rows: DataFrame, warehouse: str | None) -> DataFrame:
     return rows if warehouse is None else rows.where(F.col("warehouse_name") == F.lit(warehouse))
 
 
-def size_rank(size: Column) -> Column:
+# The known sizes, smallest first.
+KNOWN_SIZES = ("X-Small", "Small", "Medium", "Large", "X-Large", "2X-Large", "3X-Large", "4X-Large")
+
+
+def size_rank(size: str) -> str:
     """Rank of a warehouse size for ordering; unknown sizes rank above all known ones."""
-    # The known sizes, smallest first.
-    known = ("X-Small", "Small", "Medium", "Large", "X-Large", "2X-Large", "3X-Large", "4X-Large")
-    rank = F.when(size == known[0], F.lit(1))
-    for position, name in enumerate(known[1:], start=2):
-        rank = rank.when(size == name, F.lit(position))
-    return rank.otherwise(F.lit(len(known) + 1))
+    ranks = " ".join(f"WHEN '{name}' THEN {position}" for position, name in enumerate(KNOWN_SIZES, start=1))
+    return f"CASE {size} {ranks} ELSE {len(KNOWN_SIZES) + 1} END"

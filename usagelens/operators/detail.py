@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ranked(rows: DataFrame, columns: Sequence[Column | str], order: Sequence[str], limit: int | None = None) -> DataFrame:
-    """Project ``columns`` and sort descending by ``order``, ties by ``query_id``.
+def ranked(rows: DataFrame, columns: Sequence[str], order: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Project ``columns`` (SQL expressions) and sort descending by ``order``, ties by ``query_id``.
 
     The unique last key also keeps the sort balanced: a range partitioner can split a run of equal
     figures, so one value held by a third of all rows does not land in one task.  Lists are complete
     unless the caller asks for the first ``limit`` rows, which then needs no global sort.
     """
-    listed = rows.select(*columns).orderBy(*[F.col(f"`{name}`").desc() for name in order], "query_id")
+    listed = rows.selectExpr(*columns).orderBy(*[F.col(f"`{name}`").desc() for name in order], "query_id")
     return listed if limit is None else listed.limit(limit)

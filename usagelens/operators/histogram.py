@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.buckets import BucketFamily
@@ -15,7 +15,7 @@ def histogram(
     rows: DataFrame,
     keys: Sequence[str],
     family: BucketFamily,
-    value: Column,
+    value: str,
     range_column: str,
     digits: int,
 ) -> DataFrame:
@@ -25,16 +25,16 @@ def histogram(
     with count 0, and the total includes rows outside all buckets.  The map side reduces every group
     to a single row of counters before the shuffle, however large the group is.
     """
-    ordinal = "bucket_ordinal"
-    counters = [F.count(F.when(F.col(ordinal) == i, 1)).alias(label) for i, label in zip(family.ordinals, family.labels)]
+    counters = [
+        F.expr(f"count_if({condition}) AS `{label}`")
+        for condition, label in zip(family.conditions("bucket_value"), family.labels)
+    ]
     counts = (
-        rows.select(*keys, family.ordinal(value).alias(ordinal))
+        rows.selectExpr(*keys, f"{value} AS bucket_value")
         .groupBy(*keys)
-        .agg(F.count("*").alias("total_count_sql"), *counters)
+        .agg(F.expr("count(*) AS total_count_sql"), *counters)
     )
-    return counts.unpivot(
-        [*keys, "total_count_sql"],
-        [F.col(f"`{label}`") for label in family.labels],
-        range_column,
-        "sql_count",
-    ).withColumn("percent_sql_count", percent_text(F.col("sql_count"), F.col("total_count_sql"), digits))
+    unpivoted = counts.unpivot(
+        [*keys, "total_count_sql"], [f"`{label}`" for label in family.labels], range_column, "sql_count"
+    )
+    return unpivoted.selectExpr("*", f"{percent_text('sql_count', 'total_count_sql', digits)} AS percent_sql_count")

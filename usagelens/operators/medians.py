@@ -12,10 +12,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed_point import integer_divide
 from ..session import settle
 
 #: Slices per group and measure while a range is still wide.
@@ -24,15 +23,6 @@ SLICES = 4096
 DISTINCT_LIMIT = 1 << 20
 
 
-def measure_statistics(measure: str) -> list[Column]:
-    """Aggregates that ``exact_medians`` starts from, to be put into a caller's own aggregation."""
-    return [
-        F.count(measure).alias(f"{measure}__count"),
-        F.min(measure).alias(f"{measure}__min"),
-        F.max(measure).alias(f"{measure}__max"),
-    ]
-
-
 def exact_medians(
     rows: DataFrame,
     keys: Sequence[str],
@@ -44,26 +34,27 @@ def exact_medians(
     """Per group, the sum of the two middle values of every measure (twice the median).
 
     ``rows`` holds ``keys`` and non-negative ``bigint`` ``measures``; NULLs are left out.
-    ``statistics`` holds one row per group with the ``measure_statistics`` of all measures and is
-    read several times, so it should be a stored table.  A measure without values gives NULL.
+    ``statistics`` holds one row per group with ``<measure>__count`` (of non-NULL values) and
+    ``<measure>__max`` of all measures; it is read several times, so it should be a stored table.
+    A measure without values gives NULL.
 
     Each narrowing pass is a job.  It scans only the keys and the measures still open, and divides
     a range by ``slices``; byte counts up to petabytes take at most four passes.
     """
     keys = list(keys)
     state = _opening_state(statistics, keys, measures)
-    solved = [state.where(F.col("low_value").isNotNull())]
-    state = state.where(F.col("low_value").isNull())
+    solved = [state.where("low_value IS NOT NULL")]
+    state = state.where("low_value IS NULL")
     while still_open := _open_measures(state):
         state = settle(_narrow(rows, keys, still_open, state, slices, distinct_limit), "medians")
-        solved.append(state.where(F.col("low_value").isNotNull()))
-        state = state.where(F.col("low_value").isNull())
-    middle = (F.col("low_value").cast("decimal(20,0)") + F.col("high_value")).cast("decimal(20,0)")
+        solved.append(state.where("low_value IS NOT NULL"))
+        state = state.where("low_value IS NULL")
+    twice = "max(CAST(low_value AS DECIMAL(19,0)) + CAST(high_value AS DECIMAL(19,0)))"
     return (
         reduce(DataFrame.unionByName, solved)
         .groupBy(*keys)
         .pivot("measure", list(measures))
-        .agg(F.max(middle))
+        .agg(F.expr(twice))
     )
 
 
@@ -74,27 +65,24 @@ def _open_measures(state: DataFrame) -> list[str]:
 
 def _opening_state(statistics: DataFrame, keys: list[str], measures: Sequence[str]) -> DataFrame:
     """One row per group and measure: the full value range and the two middle ranks (from 1)."""
-    packed = F.array(*[
-        F.struct(
-            F.lit(m).alias("measure"),
-            F.col(f"{m}__count").alias("inside"),
-            F.col(f"{m}__min").alias("low"),
-            F.col(f"{m}__max").alias("high"),
+    packed = ", ".join(
+        f"named_struct('measure', '{m}', 'inside', {m}__count, 'high', {m}__max)" for m in measures
+    )
+    all_zero = "CASE WHEN high = 0 THEN high END"
+    return (
+        statistics.selectExpr(*keys, f"inline(array({packed}))")
+        .where("inside > 0")
+        .selectExpr(
+            *keys,
+            "measure",
+            "0L AS low",
+            "high",
+            "inside",
+            "(inside + 1) div 2 AS low_rank",
+            "inside div 2 + 1 AS high_rank",
+            f"{all_zero} AS low_value",
+            f"{all_zero} AS high_value",
         )
-        for m in measures
-    ])
-    flat = statistics.select(*keys, F.inline(packed)).where(F.col("inside") > 0)
-    constant = F.col("low") == F.col("high")
-    return flat.select(
-        *keys,
-        "measure",
-        "low",
-        "high",
-        "inside",
-        integer_divide(F.col("inside") + 1, F.lit(2)).alias("low_rank"),
-        (integer_divide(F.col("inside"), F.lit(2)) + 1).alias("high_rank"),
-        F.when(constant, F.col("low")).alias("low_value"),
-        F.when(constant, F.col("low")).alias("high_value"),
     )
 
 
@@ -107,54 +95,54 @@ def _narrow(
     distinct_limit: int,
 ) -> DataFrame:
     """One pass: slice every open range, keep the slice of the middle ranks."""
-    span = F.col("high") - F.col("low") + 1
-    width = F.when(F.least("inside", span) <= distinct_limit, F.lit(1).cast("bigint")).otherwise(
-        integer_divide(span + (slices - 1), F.lit(slices))
+    group = [*keys, "measure"]
+    ranks = ["low_rank", "high_rank"]
+    span = "(high - low + 1)"
+    width = (
+        f"CASE WHEN least(inside, {span}) <= {distinct_limit}L THEN 1L "
+        f"ELSE ({span} + {slices - 1}) div {slices}L END AS width"
     )
-    ranges = state.select(*keys, "measure", "low", "high", "low_rank", "high_rank", width.alias("width"))
-
-    value = F.col("value")
-    in_range = (
+    counted = (
         rows.select(*keys, *measures)
-        .unpivot(keys, list(measures), "measure", "value")
-        .where(value.isNotNull())
-        .join(ranges, [*keys, "measure"])
-        .where((value >= F.col("low")) & (value <= F.col("high")))
+        .unpivot(keys, measures, "measure", "value")
+        .where("value IS NOT NULL")
+        .join(state.selectExpr(*group, "low", "high", *ranks, width), group)
+        .where("value >= low AND value <= high")
+        .selectExpr(*group, *ranks, "(value - low) div width AS slice", "value")
+        .groupBy(*group, *ranks, "slice")
+        .agg(F.expr("count(*) AS inside"), F.expr("min(value) AS low"), F.expr("max(value) AS high"))
     )
-    counted = in_range.groupBy(
-        *keys,
-        "measure",
-        "low_rank",
-        "high_rank",
-        integer_divide(value - F.col("low"), F.col("width")).alias("slice"),
-    ).agg(F.count("*").alias("inside"), F.min("value").alias("low"), F.max("value").alias("high"))
-
     # At most max(slices, distinct_limit) rows per group and measure.
-    upward = Window.partitionBy(*keys, "measure").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("inside").over(upward)).withColumn("below", F.col("upto") - F.col("inside"))
-    holds_low = (F.col("below") < F.col("low_rank")) & (F.col("low_rank") <= F.col("upto"))
-    holds_high = (F.col("below") < F.col("high_rank")) & (F.col("high_rank") <= F.col("upto"))
-    middle = ranked.where(holds_low | holds_high).groupBy(*keys, "measure", "low_rank", "high_rank").agg(
-        F.count("*").alias("parts"),
-        F.min("low").alias("least"),
-        F.max("high").alias("greatest"),
-        # With the two ranks in different slices, they are the last value of the one slice and the
-        # first value of the other.
-        F.max(F.when(holds_low, F.col("high"))).alias("low_edge"),
-        F.min(F.when(holds_high, F.col("low"))).alias("high_edge"),
-        F.min("below").alias("below"),
-        F.min("inside").alias("inside"),
+    upto = f"sum(inside) OVER (PARTITION BY {', '.join(group)} ORDER BY slice ROWS UNBOUNDED PRECEDING) AS upto"
+    middle = (
+        counted.selectExpr("*", upto)
+        .selectExpr("*", "upto - inside AS below")
+        .selectExpr(
+            "*",
+            "below < low_rank AND low_rank <= upto AS holds_low",
+            "below < high_rank AND high_rank <= upto AS holds_high",
+        )
+        .where("holds_low OR holds_high")
+        .groupBy(*group, *ranks)
+        .agg(
+            F.expr("count(*) AS parts"),
+            F.expr("min(low) AS least"),
+            F.expr("max(high) AS greatest"),
+            # With the two ranks in different slices, they are the last value of the one slice and
+            # the first value of the other.
+            F.expr("max(CASE WHEN holds_low THEN high END) AS low_edge"),
+            F.expr("min(CASE WHEN holds_high THEN low END) AS high_edge"),
+            F.expr("min(below) AS below"),
+            F.expr("min(inside) AS inside"),
+        )
     )
-    parted = F.col("parts") > 1
-    constant = F.col("least") == F.col("greatest")
-    return middle.select(
-        *keys,
-        "measure",
-        F.col("least").alias("low"),
-        F.col("greatest").alias("high"),
+    return middle.selectExpr(
+        *group,
+        "least AS low",
+        "greatest AS high",
         "inside",
-        (F.col("low_rank") - F.col("below")).alias("low_rank"),
-        (F.col("high_rank") - F.col("below")).alias("high_rank"),
-        F.when(parted, F.col("low_edge")).when(constant, F.col("least")).alias("low_value"),
-        F.when(parted, F.col("high_edge")).when(constant, F.col("least")).alias("high_value"),
+        "low_rank - below AS low_rank",
+        "high_rank - below AS high_rank",
+        "CASE WHEN parts > 1 THEN low_edge WHEN least = greatest THEN least END AS low_value",
+        "CASE WHEN parts > 1 THEN high_edge WHEN least = greatest THEN least END AS high_value",
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import buckets
@@ -20,9 +21,9 @@ from ..functions.fixed_point import (
 )
 from ..functions.period import Period
 from ..operators.base import GROUP_KEYS, size_rank
-from ..operators.medians import exact_medians, measure_statistics
+from ..operators.medians import exact_medians
 from ..session import settle
-from .reports import prune_ratio, queued_ratio, txblocked_ratio
+from .reports import PRUNE_RATIO, QUEUED_RATIO, TXBLOCKED_RATIO
 from .summary import credits_per_warehouse, executed_queries
 
 
@@ -58,6 +59,8 @@ FAMILIES: tuple[tuple[str, BucketFamily], ...] = (
 )
 
 MEASURES = tuple(s.measure for s in STATISTICS)
+#: Measures that are over zero on every profiled row.
+ALWAYS_POSITIVE = ("bytes_scanned", "total_elapsed_time")
 ELIGIBLE_SECONDS = "eligible_query_acceleration_time"
 
 #: Up to this many rows in all groups together, Spark's ``median`` has little to keep in memory.
@@ -66,90 +69,90 @@ SMALL_ROWS = 250_000
 
 def _measured(history: DataFrame, period: Period) -> DataFrame:
     """Grouping keys and measures; no wide column is read."""
-    return executed_queries(history, period).select(
+    return executed_queries(history, period).selectExpr(
         *GROUP_KEYS,
         *[m for m in MEASURES if m != "prune_ratio"],
-        prune_ratio().alias("prune_ratio"),
-        queued_ratio().alias("queued_ratio"),
-        txblocked_ratio().alias("txblocked_ratio"),
+        f"{PRUNE_RATIO} AS prune_ratio",
+        f"{QUEUED_RATIO} AS queued_ratio",
+        f"{TXBLOCKED_RATIO} AS txblocked_ratio",
     )
 
 
-def _ordinal(measure: str) -> str:
-    return f"{measure}__bucket"
+def _group_aggregates() -> list[str]:
+    """Everything the profile needs from one pass: counters, exact sums and largest values.
 
-
-def _in_bucket(measure: str, position: int) -> Column:
-    return F.col(_ordinal(measure)) == position
-
-
-def _group_aggregates() -> list[Column]:
-    """Everything the profile needs from one pass: counters, exact sums and value ranges."""
-    aggregates = [F.count("*").alias("count_total_sql")]
-    for measure in MEASURES:
-        aggregates += [exact_sum(F.col(measure)).alias(f"{measure}__sum"), *measure_statistics(measure)]
-    for measure, family in FAMILIES:
-        aggregates += [
-            F.count(F.when(_in_bucket(measure, i), 1)).alias(f"{measure}__n{i}") for i in family.ordinals
-        ]
-    for i in buckets.SCAN_SIZE.ordinals:
-        inside = _in_bucket("bytes_scanned", i)
+    Every row has scanned data and taken time, so it is in exactly one scan-size and one elapsed-time
+    bucket, and the totals of these two measures follow from the sums per bucket.  That keeps the
+    aggregate under 100 fields, beyond which Spark gives up whole-stage code generation.
+    """
+    aggregates = ["count(*) AS count_total_sql"]
+    for m in MEASURES:
+        aggregates.append(f"max({m}) AS {m}__max")
+        if m not in ALWAYS_POSITIVE:
+            aggregates += [f"{exact_sum(m)} AS {m}__sum", f"count({m}) AS {m}__count"]
+    for m, family in FAMILIES:
+        aggregates += [f"count_if({c}) AS {m}__n{i}" for i, c in zip(family.ordinals, family.conditions(m))]
+    for i, inside in zip(buckets.SCAN_SIZE.ordinals, buckets.SCAN_SIZE.conditions("bytes_scanned")):
         aggregates += [
-            exact_sum(F.when(inside, F.col("total_elapsed_time"))).alias(f"scan__elapsed{i}"),
-            exact_sum(F.when(inside, F.col("bytes_scanned"))).alias(f"scan__bytes{i}"),
+            f"{exact_sum(f'CASE WHEN {inside} THEN total_elapsed_time END')} AS scan__elapsed{i}",
+            f"{exact_sum(f'CASE WHEN {inside} THEN bytes_scanned END')} AS scan__bytes{i}",
         ]
-    for i in buckets.ELAPSED.ordinals:
-        inside = _in_bucket("total_elapsed_time", i)
-        aggregates.append(exact_sum(F.when(inside, F.col("total_elapsed_time"))).alias(f"elapsed__elapsed{i}"))
+    for i, inside in zip(buckets.ELAPSED.ordinals, buckets.ELAPSED.conditions("total_elapsed_time")):
+        aggregates.append(f"{exact_sum(f'CASE WHEN {inside} THEN total_elapsed_time END')} AS elapsed__elapsed{i}")
     return aggregates
 
 
-def _statistic_columns(s: Statistic) -> list[Column]:
-    total, count = F.col(f"{s.measure}__sum"), F.col(f"{s.measure}__count")
-    mean = scaled_total(total, count * s.unit, 2).alias(f"AVG_{s.shown}({s.unit_name})")
-    median = scaled_total(F.col(_twice_median(s.measure)), 2 * s.unit, 2).alias(f"MDN_{s.shown}({s.unit_name})")
+def _with_totals(groups: DataFrame) -> DataFrame:
+    """Add the totals that follow from the sums per bucket; an empty bucket's sum is NULL."""
+    parts = {
+        "bytes_scanned": [f"scan__bytes{i}" for i in buckets.SCAN_SIZE.ordinals],
+        "total_elapsed_time": [f"elapsed__elapsed{i}" for i in buckets.ELAPSED.ordinals],
+    }
+    added = []
+    for m, names in parts.items():
+        added.append(" + ".join(f"coalesce({name}, 0)" for name in names) + f" AS {m}__sum")
+        added.append(f"count_total_sql AS {m}__count")
+    return groups.selectExpr("*", *added)
+
+
+def _statistic_columns(s: Statistic) -> list[str]:
+    total, count = f"{s.measure}__sum", f"{s.measure}__count"
+    mean = scaled_total(total, f"{count} * {s.unit}L", 2)
+    median = scaled_total(_twice_median(s.measure), 2 * s.unit, 2)
+    columns = [f"{mean} AS `AVG_{s.shown}({s.unit_name})`", f"{median} AS `MDN_{s.shown}({s.unit_name})`"]
     if s.unit_name == "%":
-        return [mean, median]
-    columns = [mean, median, scaled_total(total, s.unit, 2).alias(f"SUM_{s.shown}({s.unit_name})")]
+        return columns
+    columns.append(f"{scaled_total(total, s.unit, 2)} AS `SUM_{s.shown}({s.unit_name})`")
     if s.measure == "total_elapsed_time":
-        columns.append(scaled_total(total, MS_PER_HOUR, 2).alias(f"SUM_{s.shown}(h)"))
-    columns.append(scaled_total(F.col(f"{s.measure}__max"), s.unit, 2).alias(f"MAX_{s.shown}({s.unit_name})"))
+        columns.append(f"{scaled_total(total, MS_PER_HOUR, 2)} AS `SUM_{s.shown}(h)`")
+    columns.append(f"{scaled_total(f'{s.measure}__max', s.unit, 2)} AS `MAX_{s.shown}({s.unit_name})`")
     return columns
 
 
-def _profile_columns() -> list[Column | str]:
-    columns: list[Column | str] = []
-    for s in STATISTICS:
-        columns += _statistic_columns(s)
+def _profile_columns() -> list[str]:
+    columns = [column for s in STATISTICS for column in _statistic_columns(s)]
     columns.append("count_total_sql")
-    for measure, family in FAMILIES:
-        columns += [
-            F.col(f"{measure}__n{i}").alias(f"CNTSQL: {text}") for i, text in zip(family.ordinals, family.texts)
-        ]
+    for m, family in FAMILIES:
+        columns += [f"{m}__n{i} AS `CNTSQL: {text}`" for i, text in zip(family.ordinals, family.texts)]
     # Empty buckets: 0 for a sum, NULL for a mean.
-    nothing = F.lit(0).cast("decimal(38,0)")
     scan = list(zip(buckets.SCAN_SIZE.ordinals, buckets.SCAN_SIZE.texts))
+    elapsed = list(zip(buckets.ELAPSED.ordinals, buckets.ELAPSED.texts))
     columns += [
-        scaled_total(F.coalesce(f"scan__elapsed{i}", nothing), MS_PER_HOUR, 1).alias(f"SUM_ELAPSED_TIME(h): {text}")
+        f"{scaled_total(f'coalesce(scan__elapsed{i}, 0)', MS_PER_HOUR, 1)} AS `SUM_ELAPSED_TIME(h): {text}`"
         for i, text in scan
     ]
     columns += [
-        scaled_total(F.col(f"scan__elapsed{i}"), F.col(f"bytes_scanned__n{i}") * MS_PER_SECOND, 1).alias(
-            f"AVG_ELAPSED_TIME(s): {text}"
-        )
+        f"{scaled_total(f'scan__elapsed{i}', f'bytes_scanned__n{i} * {MS_PER_SECOND}L', 1)}"
+        f" AS `AVG_ELAPSED_TIME(s): {text}`"
         for i, text in scan
     ]
     columns += [
-        scaled_total(F.col(f"scan__bytes{i}"), F.col(f"bytes_scanned__n{i}") * GB, 2).alias(
-            f"AVG_SCAN_SIZE(GB): {text}"
-        )
+        f"{scaled_total(f'scan__bytes{i}', f'bytes_scanned__n{i} * {GB}L', 2)} AS `AVG_SCAN_SIZE(GB): {text}`"
         for i, text in scan
     ]
     columns += [
-        scaled_total(F.coalesce(f"elapsed__elapsed{i}", nothing), MS_PER_HOUR, 1).alias(
-            f"SUM_ELAPSED_TIME(h): {text}"
-        )
-        for i, text in zip(buckets.ELAPSED.ordinals, buckets.ELAPSED.texts)
+        f"{scaled_total(f'coalesce(elapsed__elapsed{i}, 0)', MS_PER_HOUR, 1)} AS `SUM_ELAPSED_TIME(h): {text}`"
+        for i, text in elapsed
     ]
     return columns
 
@@ -159,50 +162,54 @@ def _twice_median(measure: str) -> str:
 
 
 def _grouped(
-    rows: DataFrame, aggregates: list[Column], measures: tuple[str, ...], small_rows: int, name: str
+    rows: DataFrame,
+    aggregates: list[str],
+    measures: tuple[str, ...],
+    small_rows: int,
+    name: str,
+    complete: Callable[[DataFrame], DataFrame] = lambda groups: groups,
 ) -> DataFrame:
     """One row per warehouse and size: ``aggregates`` and twice the exact median of ``measures``.
 
-    The row count picks the way to the medians: ``median`` in the same aggregate for few rows, else
-    stored group statistics and narrowing passes whose memory does not grow with the groups.
+    The row count picks the way to the medians: ``median`` for few rows, else stored group statistics
+    and narrowing passes whose memory does not grow with the groups.
     """
     keys = list(GROUP_KEYS)
+    groups = complete(rows.groupBy(*keys).agg(*map(F.expr, aggregates)))
     if rows.count() <= small_rows:
-        medians = [(F.median(m) * 2).cast("decimal(20,0)").alias(_twice_median(m)) for m in measures]
-        return rows.groupBy(*keys).agg(*aggregates, *medians)
-    groups = settle(rows.groupBy(*keys).agg(*aggregates), name)
-    medians = exact_medians(rows, keys, measures, groups)
-    renamed = medians.select(*keys, *[F.col(m).alias(_twice_median(m)) for m in measures])
-    return groups.join(renamed, keys, "left")
+        medians = rows.groupBy(*keys).agg(*[F.expr(f"CAST(median({m}) * 2 AS DECIMAL(20,0)) AS {m}") for m in measures])
+    else:
+        groups = settle(groups, name)
+        medians = exact_medians(rows, keys, measures, groups)
+    return groups.join(medians.selectExpr(*keys, *[f"{m} AS {_twice_median(m)}" for m in measures]), keys, "left")
 
 
 def query_profile(history: DataFrame, period: Period, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Statistics, bucket counts and bucketed times per warehouse and size."""
-    ordinals = {_ordinal(m): family.ordinal(F.col(m)) for m, family in FAMILIES}
-    rows = _measured(history, period).withColumns(ordinals)
-    groups = _grouped(rows, _group_aggregates(), MEASURES, small_rows, "profile")
-    return groups.select(*GROUP_KEYS, *_profile_columns())
+    rows = _measured(history, period)
+    groups = _grouped(rows, _group_aggregates(), MEASURES, small_rows, "profile", _with_totals)
+    return groups.selectExpr(*GROUP_KEYS, *_profile_columns())
 
 
 def acceleration_profile(eligible: DataFrame, period: Period, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Statistics of eligible acceleration seconds per warehouse and size."""
     # Rows without a warehouse or size have no counterpart in the profile.
     rows = period.rows_of(eligible).select(*GROUP_KEYS, ELIGIBLE_SECONDS).dropna(subset=list(GROUP_KEYS))
+    m = ELIGIBLE_SECONDS
     aggregates = [
-        F.count("*").alias("total_eligible_qas_sql_count"),
-        exact_sum(F.col(ELIGIBLE_SECONDS)).alias(f"{ELIGIBLE_SECONDS}__sum"),
-        *measure_statistics(ELIGIBLE_SECONDS),
+        "count(*) AS total_eligible_qas_sql_count",
+        f"{exact_sum(m)} AS {m}__sum",
+        f"count({m}) AS {m}__count",
+        f"max({m}) AS {m}__max",
     ]
-    groups = _grouped(rows, aggregates, (ELIGIBLE_SECONDS,), small_rows, "acceleration")
-    count, total = F.col(f"{ELIGIBLE_SECONDS}__count"), F.col(f"{ELIGIBLE_SECONDS}__sum")
-    shown = f"{ELIGIBLE_SECONDS}(s)"
-    return groups.select(
+    groups = _grouped(rows, aggregates, (m,), small_rows, "acceleration")
+    return groups.selectExpr(
         *GROUP_KEYS,
         "total_eligible_qas_sql_count",
-        scaled_total(total, count, 2).alias(f"avg_{shown}"),
-        scaled_total(F.col(_twice_median(ELIGIBLE_SECONDS)), 2, 2).alias(f"mdn_{shown}"),
-        total.cast("decimal(38,0)").alias(f"sum_{shown}"),
-        F.col(f"{ELIGIBLE_SECONDS}__max").alias(f"max_{shown}"),
+        f"{scaled_total(f'{m}__sum', f'{m}__count', 2)} AS `avg_{m}(s)`",
+        f"{scaled_total(_twice_median(m), 2, 2)} AS `mdn_{m}(s)`",
+        f"CAST({m}__sum AS DECIMAL(38,0)) AS `sum_{m}(s)`",
+        f"{m}__max AS `max_{m}(s)`",
     )
 
 
@@ -225,21 +232,20 @@ def warehouse_detail(
     profile = query_profile(history, period, small_rows)
     credits = credits_per_warehouse(metering, period)
     acceleration = acceleration_profile(eligible, period, small_rows)
-    share_of = F.col("count_total_sql")
     shares = [
-        percent_text(F.col(f"`CNTSQL: {text}`"), share_of, 0).alias(f"%CNTSQL: {text}")
+        f"{percent_text(f'`CNTSQL: {text}`', 'count_total_sql', 0)} AS `%CNTSQL: {text}`"
         for text in buckets.SCAN_SIZE.texts
     ]
     keys = list(GROUP_KEYS)
-    profiled = [F.col(f"`{name}`") for name in profile.columns if name not in keys]
-    accelerated = [F.col(f"`{name}`") for name in acceleration.columns if name not in keys]
+    profiled = [f"`{name}`" for name in profile.columns if name not in keys]
+    accelerated = [f"`{name}`" for name in acceleration.columns if name not in keys]
     return (
         profile.join(credits, "warehouse_name")
         .join(acceleration, keys, "left")
-        .orderBy(size_rank(F.col("warehouse_size")).desc(), F.col("credits_used").desc(), *keys)
-        .select(
+        .orderBy(F.expr(size_rank("warehouse_size")).desc(), F.col("credits_used").desc(), *keys)
+        .selectExpr(
             *keys,
-            F.lit(period.label).alias("DATE PERIOD"),
+            f"'{period.label}' AS `DATE PERIOD`",
             "credits_used",
             *shares,
             *profiled,

@@ -6,8 +6,7 @@ Every report takes a fact table, a window and a warehouse name, and returns a la
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import buckets
 from ..functions.fixed_point import (
@@ -29,16 +28,9 @@ from ..operators.histogram import histogram
 QUERY_COLUMNS = (*GROUP_KEYS, "query_id", "query_text")
 
 
-def queued_ratio() -> Column:
-    return ratio_micros(F.col("queued_overload_time"), F.col("total_elapsed_time"))
-
-
-def txblocked_ratio() -> Column:
-    return ratio_micros(F.col("transaction_blocked_time"), F.col("total_elapsed_time"))
-
-
-def prune_ratio() -> Column:
-    return ratio_micros(F.col("partitions_scanned"), F.col("partitions_total"))
+QUEUED_RATIO = ratio_micros("queued_overload_time", "total_elapsed_time")
+TXBLOCKED_RATIO = ratio_micros("transaction_blocked_time", "total_elapsed_time")
+PRUNE_RATIO = ratio_micros("partitions_scanned", "partitions_total")
 
 
 def warehouse_list(warehouses: DataFrame) -> DataFrame:
@@ -51,67 +43,66 @@ def warehouse_list(warehouses: DataFrame) -> DataFrame:
 
 def local_spill_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per size of data spilled to local storage; only queries that scanned data."""
-    rows = successful_queries(history, period, warehouse).where(F.col("bytes_scanned") > 0)
-    value = F.col("bytes_spilled_to_local_storage")
+    rows = successful_queries(history, period, warehouse).where("bytes_scanned > 0")
+    value = "bytes_spilled_to_local_storage"
     return histogram(rows, GROUP_KEYS, buckets.LOCAL_SPILL, value, "local_spilled_size_range", 2)
 
 
 def remote_spill_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per size of data spilled to remote storage; only queries that scanned data."""
-    rows = successful_queries(history, period, warehouse).where(F.col("bytes_scanned") > 0)
-    value = F.col("bytes_spilled_to_remote_storage")
+    rows = successful_queries(history, period, warehouse).where("bytes_scanned > 0")
+    value = "bytes_spilled_to_remote_storage"
     return histogram(rows, GROUP_KEYS, buckets.REMOTE_SPILL, value, "remote_spilled_size_range", 2)
 
 
 def queue_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per share of elapsed time spent in the queue."""
     rows = successful_queries(history, period, warehouse)
-    return histogram(rows, GROUP_KEYS, buckets.QUEUED_RATIO, queued_ratio(), "queued_percent_range", 2)
+    return histogram(rows, GROUP_KEYS, buckets.QUEUED_RATIO, QUEUED_RATIO, "queued_percent_range", 2)
 
 
 def txblock_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per share of elapsed time blocked by transactions."""
     rows = successful_queries(history, period, warehouse)
-    return histogram(rows, GROUP_KEYS, buckets.TXBLOCKED_RATIO, txblocked_ratio(), "txblocked_percent_range", 2)
+    return histogram(rows, GROUP_KEYS, buckets.TXBLOCKED_RATIO, TXBLOCKED_RATIO, "txblocked_percent_range", 2)
 
 
 def elapsed_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per elapsed time."""
-    rows = successful_queries(history, period, warehouse).where(F.col("total_elapsed_time") > 0)
-    value = F.col("total_elapsed_time")
-    return histogram(rows, GROUP_KEYS, buckets.ELAPSED, value, "elapsed_time_range", 3)
+    rows = successful_queries(history, period, warehouse).where("total_elapsed_time > 0")
+    return histogram(rows, GROUP_KEYS, buckets.ELAPSED, "total_elapsed_time", "elapsed_time_range", 3)
 
 
 def scan_size_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per scanned size."""
-    rows = successful_queries(history, period, warehouse).where(F.col("bytes_scanned") > 0)
-    return histogram(rows, GROUP_KEYS, buckets.SCAN_SIZE, F.col("bytes_scanned"), "scan_size_range", 1)
+    rows = successful_queries(history, period, warehouse).where("bytes_scanned > 0")
+    return histogram(rows, GROUP_KEYS, buckets.SCAN_SIZE, "bytes_scanned", "scan_size_range", 1)
 
 
 def prune_ratio_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per share of partitions scanned; a share of exactly 0 is in no bucket."""
-    rows = successful_queries(history, period, warehouse).where(F.col("partitions_total") > 0)
-    return histogram(rows, GROUP_KEYS, buckets.PRUNE_RATIO, prune_ratio(), "scan_partition_ratio_range", 1)
+    rows = successful_queries(history, period, warehouse).where("partitions_total > 0")
+    return histogram(rows, GROUP_KEYS, buckets.PRUNE_RATIO, PRUNE_RATIO, "scan_partition_ratio_range", 1)
 
 
 def local_spill_histogram_by_start(
     history: DataFrame, period: Period, warehouse: str | None = None
 ) -> DataFrame:
     """The local-spill histogram per start time (stored and local)."""
-    rows = successful_queries(history, period, warehouse).where(F.col("bytes_scanned") > 0)
-    value = F.col("bytes_spilled_to_local_storage")
+    rows = successful_queries(history, period, warehouse).where("bytes_scanned > 0")
+    value = "bytes_spilled_to_local_storage"
     per_start = histogram(
         rows, ("start_time", *GROUP_KEYS), buckets.LOCAL_SPILL, value, "local_spilled_size_range", 2
     )
     # The local time follows from the stored one, so it need not be a grouping key.
-    return per_start.select(
+    return per_start.selectExpr(
         "start_time",
-        period.local_time(per_start).alias("conv_strtime"),
+        f"{period.local_time(per_start)} AS conv_strtime",
         *GROUP_KEYS,
         "total_count_sql",
         "local_spilled_size_range",
         "sql_count",
-        F.col("percent_sql_count").alias("%sql_count"),
+        "percent_sql_count AS `%sql_count`",
     )
 
 
@@ -119,15 +110,15 @@ def local_spill_histogram_by_start(
 
 
 def _spill_top(history: DataFrame, period: Period, warehouse: str | None, measure: str, limit: int | None) -> DataFrame:
-    rows = successful_queries(history, period, warehouse).where(F.col(measure) > 0)
+    rows = successful_queries(history, period, warehouse).where(f"{measure} > 0")
     local, remote = "bytes_spilled_to_local_storage", "bytes_spilled_to_remote_storage"
     columns = (
         *QUERY_COLUMNS,
-        period.local_time(rows).alias("start_time"),
+        f"{period.local_time(rows)} AS start_time",
         local,
-        scaled(F.col(local), GB, 2).alias(f"{local}_gb"),
+        f"{scaled(local, GB, 2)} AS {local}_gb",
         remote,
-        scaled(F.col(remote), GB, 2).alias(f"{remote}_gb"),
+        f"{scaled(remote, GB, 2)} AS {remote}_gb",
     )
     return ranked(rows, columns, [measure], limit)
 
@@ -156,14 +147,14 @@ def _wait_top(
 ) -> DataFrame:
     # Listed are queries whose wait, rounded to 0.01 s, is over 0.
     shortest = smallest_raw_rounding_above(0, MS_PER_SECOND, 2)
-    rows = successful_queries(history, period, warehouse).where(F.col(measure) >= shortest)
+    rows = successful_queries(history, period, warehouse).where(f"{measure} >= {shortest}")
     seconds, percent = names
     columns = (
         *QUERY_COLUMNS,
-        period.local_time(rows).alias("start_time"),
-        scaled(F.col("total_elapsed_time"), MS_PER_SECOND, 2).alias("elapsed_time_s"),
-        scaled(F.col(measure), MS_PER_SECOND, 2).alias(seconds),
-        percent_text(F.col(measure), F.col("total_elapsed_time"), 2).alias(percent),
+        f"{period.local_time(rows)} AS start_time",
+        f"{scaled('total_elapsed_time', MS_PER_SECOND, 2)} AS elapsed_time_s",
+        f"{scaled(measure, MS_PER_SECOND, 2)} AS {seconds}",
+        f"{percent_text(measure, 'total_elapsed_time', 2)} AS {percent}",
     )
     return ranked(rows, columns, [seconds], limit)
 
@@ -189,11 +180,11 @@ def elapsed_top(
 ) -> DataFrame:
     """Queries by elapsed time, longest first; those that round to 0.0 s are left out."""
     shortest = smallest_raw_rounding_above(0, MS_PER_SECOND, 1)
-    rows = successful_queries(history, period, warehouse).where(F.col("total_elapsed_time") >= shortest)
+    rows = successful_queries(history, period, warehouse).where(f"total_elapsed_time >= {shortest}")
     columns = (
         *QUERY_COLUMNS,
-        period.local_time(rows).alias("start_time"),
-        scaled(F.col("total_elapsed_time"), MS_PER_SECOND, 1).alias("total_elapsed_time_s"),
+        f"{period.local_time(rows)} AS start_time",
+        f"{scaled('total_elapsed_time', MS_PER_SECOND, 1)} AS total_elapsed_time_s",
     )
     return ranked(rows, columns, ["total_elapsed_time_s"], limit)
 
@@ -209,12 +200,13 @@ def scan_size_range(
     """Queries whose scanned size in GB, rounded to 0.01, is in ``(min_gb, max_gb]``, largest first."""
     smallest = smallest_raw_rounding_above(min_gb, GB, 2)
     largest = largest_raw_rounding_to(max_gb, GB, 2)
-    scanned = F.col("bytes_scanned")
-    rows = successful_queries(history, period, warehouse).where((scanned >= smallest) & (scanned <= largest))
+    rows = successful_queries(history, period, warehouse).where(
+        f"bytes_scanned >= {smallest}L AND bytes_scanned <= {largest}L"
+    )
     columns = (
         *QUERY_COLUMNS,
-        scaled(scanned, GB, 2).cast("decimal(10,2)").alias("bytes_scanned_gb"),
-        scaled(F.col("total_elapsed_time"), MS_PER_SECOND, 2).cast("decimal(10,2)").alias("total_elapsed_time_s"),
+        f"CAST({scaled('bytes_scanned', GB, 2)} AS DECIMAL(10,2)) AS bytes_scanned_gb",
+        f"CAST({scaled('total_elapsed_time', MS_PER_SECOND, 2)} AS DECIMAL(10,2)) AS total_elapsed_time_s",
     )
     return ranked(rows, columns, ["bytes_scanned_gb"], limit)
 
@@ -224,19 +216,20 @@ def prune_ratio_detail(
 ) -> DataFrame:
     """Queries that scanned 90 to 100 % of the partitions (rounded to 0.01 %), largest share first."""
     # The ratio in hundredths of a percent.
-    points = divide_half_up(prune_ratio(), 100)
+    points = divide_half_up(PRUNE_RATIO, 100)
     rows = (
         successful_queries(history, period, warehouse)
-        .where(F.col("partitions_total") > 0)
-        .where(points.between(90_00, 100_00))
+        .where("partitions_total > 0")
+        .selectExpr("*", f"{points} AS points")
+        .where("points BETWEEN 9000 AND 10000")
     )
     columns = (
         *QUERY_COLUMNS,
-        as_decimal(points, 2).alias("%scan_partition_ratio"),
+        f"{as_decimal('points', 2)} AS `%scan_partition_ratio`",
         "partitions_scanned",
         "partitions_total",
-        scaled(F.col("bytes_scanned"), GB, 2).alias("bytes_scanned_gb"),
-        scaled(F.col("total_elapsed_time"), MS_PER_SECOND, 2).alias("total_elapsed_time_s"),
+        f"{scaled('bytes_scanned', GB, 2)} AS bytes_scanned_gb",
+        f"{scaled('total_elapsed_time', MS_PER_SECOND, 2)} AS total_elapsed_time_s",
     )
     return ranked(rows, columns, ["%scan_partition_ratio", "partitions_scanned"], limit)
 

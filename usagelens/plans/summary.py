@@ -21,9 +21,7 @@ def credits_per_warehouse(metering: DataFrame, period: Period) -> DataFrame:
 
 def executed_queries(history: DataFrame, period: Period) -> DataFrame:
     """Queries of all warehouses that scanned data and took time."""
-    return successful_queries(history, period).where(
-        (F.col("bytes_scanned") > 0) & (F.col("total_elapsed_time") > 0)
-    )
+    return successful_queries(history, period).where("bytes_scanned > 0 AND total_elapsed_time > 0")
 
 
 def warehouse_summary(history: DataFrame, metering: DataFrame, period: Period) -> DataFrame:
@@ -33,37 +31,35 @@ def warehouse_summary(history: DataFrame, metering: DataFrame, period: Period) -
     Warehouses without credits in the window are left out.  Credits belong to the warehouse: when it
     ran in several sizes they repeat on every row and must not be added up.
     """
-    large = F.col("bytes_scanned") > GB
+    large = f"bytes_scanned > {GB}"
     queries = (
         executed_queries(history, period)
         .groupBy(*GROUP_KEYS)
         .agg(
-            F.count("*").alias("count_queries"),
-            F.count(F.when(large, 1)).alias("count_large"),
-            F.count(F.when(~large, 1)).alias("count_small"),
-            exact_sum(F.when(large, F.col("bytes_scanned"))).alias("large_bytes"),
-            exact_sum(F.when(large, F.col("total_elapsed_time"))).alias("large_elapsed_ms"),
-            exact_sum(F.col("execution_time")).alias("execution_ms"),
-            F.count("execution_time").alias("count_executed"),
+            F.expr("count(*) AS count_queries"),
+            F.expr(f"count_if({large}) AS count_large"),
+            F.expr(f"count_if(NOT {large}) AS count_small"),
+            F.expr(f"{exact_sum(f'CASE WHEN {large} THEN bytes_scanned END')} AS large_bytes"),
+            F.expr(f"{exact_sum(f'CASE WHEN {large} THEN total_elapsed_time END')} AS large_elapsed_ms"),
+            F.expr(f"{exact_sum('execution_time')} AS execution_ms"),
+            F.expr("count(execution_time) AS count_executed"),
         )
     )
-    count = F.col("count_queries")
-    count_large = F.col("count_large")
+    large_time = scaled_total("large_elapsed_ms", f"count_large * {MS_PER_SECOND}L", 0)
+    all_time = scaled_total("execution_ms", f"count_executed * {MS_PER_SECOND}L", 0)
     return (
         queries.join(credits_per_warehouse(metering, period), "warehouse_name")
-        .orderBy(size_rank(F.col("warehouse_size")).desc(), F.col("credits_used").desc(), *GROUP_KEYS)
-        .select(
+        .orderBy(F.expr(size_rank("warehouse_size")).desc(), F.col("credits_used").desc(), *GROUP_KEYS)
+        .selectExpr(
             *GROUP_KEYS,
-            percent_text(count_large, count, 0).alias("percent_large"),
-            percent_text(F.col("count_small"), count, 0).alias("percent_small"),
-            human_bytes(F.col("large_bytes"), count_large).alias("avg_bytes_large"),
-            scaled_total(F.col("large_elapsed_ms"), count_large * MS_PER_SECOND, 0).alias("AVG_LARGE_EXE_TIME(s)"),
-            scaled_total(F.col("execution_ms"), F.col("count_executed") * MS_PER_SECOND, 0).alias(
-                "AVG_ALL_EXE_TIME(s)"
-            ),
+            f"{percent_text('count_large', 'count_queries', 0)} AS percent_large",
+            f"{percent_text('count_small', 'count_queries', 0)} AS percent_small",
+            f"{human_bytes('large_bytes', 'count_large')} AS avg_bytes_large",
+            f"{large_time} AS `AVG_LARGE_EXE_TIME(s)`",
+            f"{all_time} AS `AVG_ALL_EXE_TIME(s)`",
             "count_queries",
             # Rounded a second time; the order above uses the figure with one decimal.
-            F.round("credits_used", 0).alias("credits_used"),
-            F.lit(period.label).alias("DATE PERIOD"),
+            "round(credits_used, 0) AS credits_used",
+            f"'{period.label}' AS `DATE PERIOD`",
         )
     )

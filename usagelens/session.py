@@ -14,6 +14,8 @@ REPORT_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # HotSpot leaves methods over 8000 bytes interpreted; Spark then splits the stage instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
