@@ -74,6 +74,11 @@ def percent_text(part: str, whole: str, digits: int) -> str:
     return f"concat(CAST({percent} AS STRING), '%')"
 
 
+def count_where(condition: str) -> str:
+    """Rows that meet a condition; compiles to less code than ``count_if``."""
+    return f"count(CASE WHEN {condition} THEN 1 END)"
+
+
 def exact_sum(value: str) -> str:
     """Exact sum of a ``bigint`` value as a decimal, without overflow.
 

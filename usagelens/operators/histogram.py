@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.buckets import BucketFamily
-from ..functions.fixed_point import percent_text
+from ..functions.fixed_point import count_where, percent_text
 
 
 def histogram(
@@ -26,7 +26,7 @@ def histogram(
     to a single row of counters before the shuffle, however large the group is.
     """
     counters = [
-        F.expr(f"count_if({condition}) AS `{label}`")
+        F.expr(f"{count_where(condition)} AS `{label}`")
         for condition, label in zip(family.conditions("bucket_value"), family.labels)
     ]
     counts = (

@@ -20,7 +20,7 @@ from ..session import settle
 #: Slices per group and measure while a range is still wide.
 SLICES = 4096
 #: Once a range holds at most this many rows or values, every value becomes its own slice.
-DISTINCT_LIMIT = 1 << 20
+DISTINCT_LIMIT = 1 << 16
 
 
 def exact_medians(
@@ -39,34 +39,31 @@ def exact_medians(
     A measure without values gives NULL.
 
     Each narrowing pass is a job.  It scans only the keys and the measures still open, and divides
-    a range by ``slices``; byte counts up to petabytes take at most four passes.
+    a range by ``slices``; byte counts up to petabytes take at most five passes.
     """
-    keys = list(keys)
+    keys, measures = list(keys), list(measures)
     state = _opening_state(statistics, keys, measures)
     solved = [state.where("low_value IS NOT NULL")]
     state = state.where("low_value IS NULL")
-    while still_open := _open_measures(state):
-        state = settle(_narrow(rows, keys, still_open, state, slices, distinct_limit), "medians")
+    while open_measures := [(i, measures[i]) for i in _open_positions(state)]:
+        state = settle(_narrow(rows, keys, open_measures, state, slices, distinct_limit), "medians")
         solved.append(state.where("low_value IS NOT NULL"))
         state = state.where("low_value IS NULL")
-    twice = "max(CAST(low_value AS DECIMAL(19,0)) + CAST(high_value AS DECIMAL(19,0)))"
-    return (
-        reduce(DataFrame.unionByName, solved)
-        .groupBy(*keys)
-        .pivot("measure", list(measures))
-        .agg(F.expr(twice))
-    )
+    twice = F.expr("max(CAST(low_value AS DECIMAL(19,0)) + CAST(high_value AS DECIMAL(19,0)))")
+    positions = list(range(len(measures)))
+    medians = reduce(DataFrame.unionByName, solved).groupBy(*keys).pivot("measure", positions).agg(twice)
+    return medians.selectExpr(*keys, *[f"`{i}` AS {m}" for i, m in enumerate(measures)])
 
 
-def _open_measures(state: DataFrame) -> list[str]:
-    """Names of the measures to go on with: at most as many rows as there are measures."""
+def _open_positions(state: DataFrame) -> list[int]:
+    """Positions of the measures to go on with: at most as many rows as there are measures."""
     return sorted(row.measure for row in state.select("measure").distinct().collect())
 
 
-def _opening_state(statistics: DataFrame, keys: list[str], measures: Sequence[str]) -> DataFrame:
-    """One row per group and measure: the full value range and the two middle ranks (from 1)."""
+def _opening_state(statistics: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """One row per group and measure (by position): the full value range and the two middle ranks."""
     packed = ", ".join(
-        f"named_struct('measure', '{m}', 'inside', {m}__count, 'high', {m}__max)" for m in measures
+        f"named_struct('measure', {i}, 'inside', {m}__count, 'high', {m}__max)" for i, m in enumerate(measures)
     )
     all_zero = "CASE WHEN high = 0 THEN high END"
     return (
@@ -89,27 +86,37 @@ def _opening_state(statistics: DataFrame, keys: list[str], measures: Sequence[st
 def _narrow(
     rows: DataFrame,
     keys: list[str],
-    measures: list[str],
+    open_measures: list[tuple[int, str]],
     state: DataFrame,
     slices: int,
     distinct_limit: int,
 ) -> DataFrame:
     """One pass: slice every open range, keep the slice of the middle ranks."""
     group = [*keys, "measure"]
-    ranks = ["low_rank", "high_rank"]
     span = "(high - low + 1)"
     width = (
         f"CASE WHEN least(inside, {span}) <= {distinct_limit}L THEN 1L "
-        f"ELSE ({span} + {slices - 1}) div {slices}L END AS width"
+        f"ELSE ({span} + {slices - 1}) div {slices}L END"
+    )
+    # One row per group, so that a row of the big side meets its ranges in a single lookup.
+    ranges = (
+        state.groupBy(*keys)
+        .pivot("measure", [i for i, _ in open_measures])
+        .agg(F.expr("max(low) AS low"), F.expr("max(high) AS high"), F.expr(f"max({width}) AS width"))
     )
+    slice_columns = [
+        f"CASE WHEN {m} >= `{i}_low` AND {m} <= `{i}_high` THEN ({m} - `{i}_low`) div `{i}_width` END AS slice{i}"
+        for i, m in open_measures
+    ]
+    stacked = ", ".join(f"{i}, slice{i}, {m}" for i, m in open_measures)
     counted = (
-        rows.select(*keys, *measures)
-        .unpivot(keys, measures, "measure", "value")
-        .where("value IS NOT NULL")
-        .join(state.selectExpr(*group, "low", "high", *ranks, width), group)
-        .where("value >= low AND value <= high")
-        .selectExpr(*group, *ranks, "(value - low) div width AS slice", "value")
-        .groupBy(*group, *ranks, "slice")
+        rows.select(*keys, *[m for _, m in open_measures])
+        .join(ranges, keys)
+        # Slices are worked out ahead of the generator, whose own expressions compile badly.
+        .selectExpr("*", *slice_columns)
+        .selectExpr(*keys, f"stack({len(open_measures)}, {stacked}) AS (measure, slice, value)")
+        .where("slice IS NOT NULL")
+        .groupBy(*group, "slice")
         .agg(F.expr("count(*) AS inside"), F.expr("min(value) AS low"), F.expr("max(value) AS high"))
     )
     # At most max(slices, distinct_limit) rows per group and measure.
@@ -117,13 +124,14 @@ def _narrow(
     middle = (
         counted.selectExpr("*", upto)
         .selectExpr("*", "upto - inside AS below")
+        .join(state.select(*group, "low_rank", "high_rank"), group)
         .selectExpr(
             "*",
             "below < low_rank AND low_rank <= upto AS holds_low",
             "below < high_rank AND high_rank <= upto AS holds_high",
         )
         .where("holds_low OR holds_high")
-        .groupBy(*group, *ranks)
+        .groupBy(*group, "low_rank", "high_rank")
         .agg(
             F.expr("count(*) AS parts"),
             F.expr("min(low) AS least"),

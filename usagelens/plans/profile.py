@@ -15,6 +15,7 @@ from ..functions.fixed_point import (
     MICROS_PER_PERCENT,
     MS_PER_HOUR,
     MS_PER_SECOND,
+    count_where,
     exact_sum,
     percent_text,
     scaled_total,
@@ -91,7 +92,7 @@ def _group_aggregates() -> list[str]:
         if m not in ALWAYS_POSITIVE:
             aggregates += [f"{exact_sum(m)} AS {m}__sum", f"count({m}) AS {m}__count"]
     for m, family in FAMILIES:
-        aggregates += [f"count_if({c}) AS {m}__n{i}" for i, c in zip(family.ordinals, family.conditions(m))]
+        aggregates += [f"{count_where(c)} AS {m}__n{i}" for i, c in zip(family.ordinals, family.conditions(m))]
     for i, inside in zip(buckets.SCAN_SIZE.ordinals, buckets.SCAN_SIZE.conditions("bytes_scanned")):
         aggregates += [
             f"{exact_sum(f'CASE WHEN {inside} THEN total_elapsed_time END')} AS scan__elapsed{i}",

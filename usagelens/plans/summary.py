@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed_point import GB, MS_PER_SECOND, exact_sum, human_bytes, percent_text, scaled_total
+from ..functions.fixed_point import (
+    GB,
+    MS_PER_SECOND,
+    count_where,
+    exact_sum,
+    human_bytes,
+    percent_text,
+    scaled_total,
+)
 from ..functions.period import Period
 from ..operators.base import GROUP_KEYS, size_rank, successful_queries
 
@@ -37,8 +45,8 @@ def warehouse_summary(history: DataFrame, metering: DataFrame, period: Period) -
         .groupBy(*GROUP_KEYS)
         .agg(
             F.expr("count(*) AS count_queries"),
-            F.expr(f"count_if({large}) AS count_large"),
-            F.expr(f"count_if(NOT {large}) AS count_small"),
+            F.expr(f"{count_where(large)} AS count_large"),
+            F.expr(f"{count_where(f'NOT {large}')} AS count_small"),
             F.expr(f"{exact_sum(f'CASE WHEN {large} THEN bytes_scanned END')} AS large_bytes"),
             F.expr(f"{exact_sum(f'CASE WHEN {large} THEN total_elapsed_time END')} AS large_elapsed_ms"),
             F.expr(f"{exact_sum('execution_time')} AS execution_ms"),
