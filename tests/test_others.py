@@ -12,6 +12,7 @@ from usagelens.operators.accounts import SEED_ROWS, accounts_view, load_accounts
 from usagelens.operators.extract import document_extract, document_predict
 from usagelens.operators.series import chart_series, has_chart, histogram_series, statement_result
 from usagelens.plans import reports
+from usagelens.plans.summary import warehouse_summary
 from usagelens.session import settle, shared_folder
 from usagelens.sources.tables import read_document_folder, read_usage_tables
 from usagelens.sources.testdata import usage_tables
@@ -91,7 +92,15 @@ def test_stored_tables_give_the_same_reports(spark, tmp_path):
     stored = read_usage_tables(spark, str(tmp_path))
     expected = sorted(map(tuple, reports.queue_histogram(tables.query_history, PERIOD).collect()))
     assert sorted(map(tuple, reports.queue_histogram(stored.query_history, PERIOD).collect())) == expected
-    assert [r["name"] for r in reports.warehouse_list(stored.warehouses).collect()] == ["WH_0", "WH_1", "WH_2", "WH_3"]
+    summaries = [
+        [tuple(r) for r in warehouse_summary(t.query_history, t.warehouse_metering_history, PERIOD).collect()]
+        for t in (tables, stored)
+    ]
+    assert summaries[0] == summaries[1] != []
+    listed = reports.shared_warehouse_list(stored.warehouses)
+    assert [r["name"] for r in listed.collect()] == ["WH_0", "WH_1", "WH_2", "WH_3"]
+    assert spark.table("warehouse_list").count() == 4
+    listed.unpersist()
 
 
 def test_settled_tables_go_to_the_shared_folder(spark):

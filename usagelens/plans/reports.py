@@ -38,6 +38,17 @@ def warehouse_list(warehouses: DataFrame) -> DataFrame:
     return warehouses.select("name").distinct().orderBy("name")
 
 
+def shared_warehouse_list(warehouses: DataFrame, view: str = "warehouse_list") -> DataFrame:
+    """The warehouse list, kept after its first use and readable as a view.
+
+    For callers that offer the same choice of warehouses many times.  The list is as small as the
+    number of warehouses; a lost block is computed again.
+    """
+    listed = warehouse_list(warehouses).persist()
+    listed.createOrReplaceTempView(view)
+    return listed
+
+
 # --- Histograms -----------------------------------------------------------------------------------
 
 

@@ -92,6 +92,8 @@ def usage_tables(spark: SparkSession, sf_dir: str) -> UsageTables:
     history = seeded.drop("ha", "hc", "hd")
     metering = (
         history.selectExpr(*METERING_KEYS)
+        # Spark truncates to an instant; the table stores UTC wall clock like the history.
+        .withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
         .groupBy("warehouse_name", "start_time")
         .agg(F.expr(METERING_CREDITS))
     )
