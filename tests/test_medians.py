@@ -62,3 +62,13 @@ def test_middle_ranks_in_different_slices(spark):
 def test_hot_group_with_few_distinct_values(spark):
     groups = {"hot": [(v, 3) for v in [0] * 2000 + [9] * 2001], "cold": [(4, 1)]}
     assert twice_medians(spark, groups, 4, 1) == {"hot": (18, 6), "cold": (8, 2)}
+
+
+def test_without_broadcast(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    groups = generated(3)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert twice_medians(spark, groups, 16, 8) == expected(groups)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

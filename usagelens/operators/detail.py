@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 
 def ranked(rows: DataFrame, columns: Sequence[str], order: Sequence[str], limit: int | None = None) -> DataFrame:
-    """Project ``columns`` (SQL expressions) and sort descending by ``order``, ties by ``query_id``.
+    """Sort descending by ``order``, ties by ``query_id``, and project ``columns`` (all SQL expressions).
 
     The unique last key also keeps the sort balanced: a range partitioner can split a run of equal
-    figures, so one value held by a third of all rows does not land in one task.  Lists are complete
-    unless the caller asks for the first ``limit`` rows, which then needs no global sort.
+    figures, so one value held by a third of all rows does not land in one task.  Figures and texts
+    are made after the sort, so that neither the sampling of the sort nor its shuffle carries them.
+    Lists are complete unless the caller asks for the first ``limit`` rows, which then needs no
+    global sort.
     """
-    listed = rows.selectExpr(*columns).orderBy(*[F.col(f"`{name}`").desc() for name in order], "query_id")
+    listed = rows.orderBy(*[F.expr(key).desc() for key in order], "query_id").selectExpr(*columns)
     return listed if limit is None else listed.limit(limit)

@@ -167,7 +167,7 @@ def _wait_top(
         f"{scaled(measure, MS_PER_SECOND, 2)} AS {seconds}",
         f"{percent_text(measure, 'total_elapsed_time', 2)} AS {percent}",
     )
-    return ranked(rows, columns, [seconds], limit)
+    return ranked(rows, columns, [divide_half_up(measure, MS_PER_SECOND, 2)], limit)
 
 
 def queue_top(
@@ -197,7 +197,7 @@ def elapsed_top(
         f"{period.local_time(rows)} AS start_time",
         f"{scaled('total_elapsed_time', MS_PER_SECOND, 1)} AS total_elapsed_time_s",
     )
-    return ranked(rows, columns, ["total_elapsed_time_s"], limit)
+    return ranked(rows, columns, [divide_half_up("total_elapsed_time", MS_PER_SECOND, 1)], limit)
 
 
 def scan_size_range(
@@ -219,7 +219,7 @@ def scan_size_range(
         f"CAST({scaled('bytes_scanned', GB, 2)} AS DECIMAL(10,2)) AS bytes_scanned_gb",
         f"CAST({scaled('total_elapsed_time', MS_PER_SECOND, 2)} AS DECIMAL(10,2)) AS total_elapsed_time_s",
     )
-    return ranked(rows, columns, ["bytes_scanned_gb"], limit)
+    return ranked(rows, columns, [divide_half_up("bytes_scanned", GB, 2)], limit)
 
 
 def prune_ratio_detail(
@@ -242,7 +242,7 @@ def prune_ratio_detail(
         f"{scaled('bytes_scanned', GB, 2)} AS bytes_scanned_gb",
         f"{scaled('total_elapsed_time', MS_PER_SECOND, 2)} AS total_elapsed_time_s",
     )
-    return ranked(rows, columns, ["%scan_partition_ratio", "partitions_scanned"], limit)
+    return ranked(rows, columns, ["points", "partitions_scanned"], limit)
 
 
 def accel_eligible(
