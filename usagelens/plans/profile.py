@@ -69,8 +69,11 @@ SMALL_ROWS = 250_000
 
 
 def _measured(history: DataFrame, period: Period) -> DataFrame:
-    """Grouping keys and measures; no wide column is read."""
-    return executed_queries(history, period).selectExpr(
+    """Grouping keys and measures; no wide column is read.
+
+    Queries without a warehouse have no credits to join and are left out.
+    """
+    return executed_queries(history, period).where("warehouse_name IS NOT NULL").selectExpr(
         *GROUP_KEYS,
         *[m for m in MEASURES if m != "prune_ratio"],
         f"{PRUNE_RATIO} AS prune_ratio",

@@ -76,30 +76,54 @@ ELIGIBLE_EXPRESSIONS = (
 )
 
 
-def read_test_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+EVENTS_SCHEMA = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+)
 
 
-def usage_tables(spark: SparkSession, sf_dir: str) -> UsageTables:
-    """The four input tables over ``sf_dir/events.parquet``."""
-    seeded = (
-        read_test_table(spark, sf_dir, "events")
+def read_test_table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None) -> DataFrame:
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _seeded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        read_test_table(spark, sf_dir, "events", EVENTS_SCHEMA)
         .selectExpr(*SEED_EXPRESSIONS)
         .selectExpr(*MEASURE_EXPRESSIONS)
         .selectExpr(*WAIT_EXPRESSIONS)
         .selectExpr(*HISTORY_EXPRESSIONS)
     )
-    history = seeded.drop("ha", "hc", "hd")
-    metering = (
-        history.selectExpr(*METERING_KEYS)
+
+
+def query_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seeded_history(spark, sf_dir).drop("ha", "hc", "hd")
+
+
+def warehouse_metering_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        query_history(spark, sf_dir)
+        .selectExpr(*METERING_KEYS)
         # Spark truncates to an instant; the table stores UTC wall clock like the history.
         .withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
         .groupBy("warehouse_name", "start_time")
         .agg(F.expr(METERING_CREDITS))
     )
+
+
+def query_acceleration_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seeded_history(spark, sf_dir).where(ELIGIBLE_CONDITION).selectExpr(*ELIGIBLE_EXPRESSIONS)
+
+
+def warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_history(spark, sf_dir).selectExpr("warehouse_name AS name").distinct()
+
+
+def usage_tables(spark: SparkSession, sf_dir: str) -> UsageTables:
+    """The four input tables over ``sf_dir/events.parquet``."""
     return UsageTables(
-        query_history=history,
-        warehouse_metering_history=metering,
-        query_acceleration_eligible=seeded.where(ELIGIBLE_CONDITION).selectExpr(*ELIGIBLE_EXPRESSIONS),
-        warehouses=history.selectExpr("warehouse_name AS name").distinct(),
+        query_history=query_history(spark, sf_dir),
+        warehouse_metering_history=warehouse_metering_history(spark, sf_dir),
+        query_acceleration_eligible=query_acceleration_eligible(spark, sf_dir),
+        warehouses=warehouses(spark, sf_dir),
     )
