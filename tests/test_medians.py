@@ -17,7 +17,8 @@ def twice_medians(spark, groups, slices, distinct_limit):
     df = spark.createDataFrame(rows, "k string, a bigint, b bigint").repartition(3)
     measured = settle(
         df.groupBy("k").agg(
-            *[f(m).alias(f"{m}__{n}") for m in ("a", "b") for n, f in (("count", F.count), ("max", F.max))]
+            *[f(m).alias(f"{m}__{n}") for m in ("a", "b") for n, f in (("count", F.count), ("max", F.max))],
+            *[F.expr(f"count(CASE WHEN {m} = 0 THEN 1 END) AS {m}__zeros") for m in ("a", "b")],
         ),
         "test",
     )
@@ -64,6 +65,11 @@ def test_hot_group_with_few_distinct_values(spark):
     assert twice_medians(spark, groups, 4, 1) == {"hot": (18, 6), "cold": (8, 2)}
 
 
+def test_mostly_zero(spark):
+    groups = {"odd": [(0, 0)] * 3 + [(8, 5)] * 2, "even": [(0, 4)] * 2 + [(8, 4)] * 2, "zero": [(0, 0)] * 4}
+    assert twice_medians(spark, groups, 4, 1) == {"odd": (0, 0), "even": (8, 8), "zero": (0, 0)}
+
+
 def test_without_broadcast(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     groups = generated(3)

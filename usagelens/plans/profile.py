@@ -93,7 +93,11 @@ def _group_aggregates() -> list[str]:
     for m in MEASURES:
         aggregates.append(f"max({m}) AS {m}__max")
         if m not in ALWAYS_POSITIVE:
-            aggregates += [f"{exact_sum(m)} AS {m}__sum", f"count({m}) AS {m}__count"]
+            aggregates += [
+                f"{exact_sum(m)} AS {m}__sum",
+                f"count({m}) AS {m}__count",
+                f"{count_where(f'{m} = 0')} AS {m}__zeros",
+            ]
     for m, family in FAMILIES:
         aggregates += [f"{count_where(c)} AS {m}__n{i}" for i, c in zip(family.ordinals, family.conditions(m))]
     for i, inside in zip(buckets.SCAN_SIZE.ordinals, buckets.SCAN_SIZE.conditions("bytes_scanned")):
@@ -115,7 +119,7 @@ def _with_totals(groups: DataFrame) -> DataFrame:
     added = []
     for m, names in parts.items():
         added.append(" + ".join(f"coalesce({name}, 0)" for name in names) + f" AS {m}__sum")
-        added.append(f"count_total_sql AS {m}__count")
+        added += [f"count_total_sql AS {m}__count", f"0L AS {m}__zeros"]
     return groups.selectExpr("*", *added)
 
 
@@ -204,6 +208,7 @@ def acceleration_profile(eligible: DataFrame, period: Period, small_rows: int =
         "count(*) AS total_eligible_qas_sql_count",
         f"{exact_sum(m)} AS {m}__sum",
         f"count({m}) AS {m}__count",
+        f"{count_where(f'{m} = 0')} AS {m}__zeros",
         f"max({m}) AS {m}__max",
     ]
     groups = _grouped(rows, aggregates, (m,), small_rows, "acceleration")
