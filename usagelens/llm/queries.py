@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, near_dedup, packing, quality, secrets, token_counts, warc
+from . import exact_dedup, langid, mixing, near_dedup, packing, quality, secrets, suffix_dedup, token_counts, warc
 from .tables import SPACE, new_path, read, text_of
 
 CAPACITY = 4096
@@ -71,6 +71,11 @@ def op5_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op6_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).withColumnRenamed("id", "doc_id")
+
+
 def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digests(secrets.scan(docs)).withColumnRenamed("id", "doc_id")
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_rules,
         op4_circulant_minhash,
         op5_kneser_ney_language,
+        op6_suffix_groups,
         op7_entropy_secrets,
         op8_digest_index,
         op9_warc_segments,
