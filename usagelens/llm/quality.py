@@ -1,8 +1,8 @@
 """Quality rules as weak supervision.
 
 Rules vote good (1), bad (-1) or abstain (0).  How far each rule is to be trusted is not set by hand:
-expectation-maximisation estimates the accuracy of every rule and the share of good documents from the
-agreement of the votes, and a document stays if its posterior probability of being good is at least
+expectation-maximisation estimates the accuracy of every rule on good and on bad documents, and the
+share of good ones, from the agreement of the votes, and a document stays if its posterior probability of being good is at least
 one half.  Everything is DataFrame work; the driver only carries the estimates, one number per rule.
 """
 
@@ -129,16 +129,20 @@ def measured(docs: DataFrame, text_column: str = "text", prefix: str = "") -> Da
 
 @dataclass
 class LabelModel:
-    """Share of good documents and accuracy of every rule when it votes."""
+    """Share of good documents, and of every rule that votes the share of right votes on good and on bad ones."""
 
-    prior: float = 0.7
-    accuracy: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.8))
+    prior: float = 0.8
+    on_good: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.95))
+    on_bad: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.5))
 
     def log_odds(self, prefix: str = "") -> Column:
         """Log odds of a document being good, from its votes."""
         total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for rule, a in self.accuracy.items():
-            total = total + F.col(f"{prefix}vote_{rule}") * F.lit(math.log(a / (1 - a)))
+        for rule in RULES:
+            good, bad, vote = self.on_good[rule], self.on_bad[rule], F.col(f"{prefix}vote_{rule}")
+            total = total + (
+                F.when(vote == 1, math.log(good / (1 - bad))).when(vote == -1, math.log((1 - good) / bad)).otherwise(0.0)
+            )
         return total
 
     def posterior(self, prefix: str = "") -> Column:
@@ -153,43 +157,49 @@ def _votes(prefix: str) -> list[Column]:
     return [vote(*conditions).alias(f"{prefix}vote_{rule}") for rule, conditions in RULES.items()]
 
 
-def fit(votes: DataFrame, prefix: str = "", rounds: int = 30, tolerance: float = 1e-6) -> LabelModel:
+def fit(votes: DataFrame, prefix: str = "", rounds: int = 25, tolerance: float = 1e-5) -> LabelModel:
     """Expectation-maximisation over the vote patterns of all documents.
 
     ``votes`` is reduced to one row per pattern, at most three to the power of the number of rules
-    whatever the number of documents.  Each round is one aggregate over these.  Accuracies stay
-    between 0.55 and 0.95: a rule is taken to be better than chance, which also tells the two classes
-    apart, and never certain.  The prior stays between 0.05 and 0.95.
+    whatever the number of documents.  Each round is one aggregate over these.  A rule is right more
+    often than not on good documents and is never certain; on bad ones it may be right seldom, as most
+    rules look for one fault among many.  These limits also tell the two classes apart.
     """
     names = [f"{prefix}vote_{rule}" for rule in RULES]
     patterns = stored(votes.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "vote-patterns")
     model = LabelModel()
+    good, bad = F.col("n") * F.col("good"), F.col("n") * (1 - F.col("good"))
     for _ in range(rounds):
-        good = F.col("n") * F.col("good")
         row = (
             patterns.withColumn("good", model.posterior(prefix))
             .agg(
                 F.sum("n").alias("n"),
                 F.sum(good).alias("good"),
-                *[
-                    F.sum(F.when(F.col(v) == 1, good).when(F.col(v) == -1, F.col("n") - good)).alias(f"right_{v}")
-                    for v in names
-                ],
-                *[F.sum(F.when(F.col(v) != 0, F.col("n"))).alias(f"cast_{v}") for v in names],
+                *[F.sum(F.when(F.col(v) == 1, good)).alias(f"right_good_{v}") for v in names],
+                *[F.sum(F.when(F.col(v) != 0, good)).alias(f"cast_good_{v}") for v in names],
+                *[F.sum(F.when(F.col(v) == -1, bad)).alias(f"right_bad_{v}") for v in names],
+                *[F.sum(F.when(F.col(v) != 0, bad)).alias(f"cast_bad_{v}") for v in names],
             )
             .first()
         )
         if not row["n"]:
             break
-        within = lambda x, low, high: min(max(x, low), high)
+
+        def share(side: str, rule: str, low: float, before: float) -> float:
+            cast = row[f"cast_{side}_{prefix}vote_{rule}"]
+            right = row[f"right_{side}_{prefix}vote_{rule}"] or 0.0
+            return min(max(right / cast, low), 0.995) if cast else before
+
         fitted = LabelModel(
-            within(row["good"] / row["n"], 0.05, 0.95),
-            {
-                rule: within(row[f"right_{v}"] / row[f"cast_{v}"], 0.55, 0.95) if row[f"cast_{v}"] else 0.8
-                for rule, v in zip(RULES, names)
-            },
+            min(max(row["good"] / row["n"], 0.05), 0.98),
+            {r: share("good", r, 0.6, model.on_good[r]) for r in RULES},
+            {r: share("bad", r, 0.05, model.on_bad[r]) for r in RULES},
+        )
+        change = max(
+            abs(fitted.prior - model.prior),
+            *[abs(fitted.on_good[r] - model.on_good[r]) for r in RULES],
+            *[abs(fitted.on_bad[r] - model.on_bad[r]) for r in RULES],
         )
-        change = max(abs(fitted.prior - model.prior), *[abs(fitted.accuracy[r] - model.accuracy[r]) for r in RULES])
         model = fitted
         if change < tolerance:
             break
