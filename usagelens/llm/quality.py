@@ -1,8 +1,8 @@
 """Quality rules as weak supervision.
 
 Rules vote good (1), bad (-1) or abstain (0).  How far each rule is to be trusted is not set by hand:
-expectation-maximisation estimates the accuracy of every rule on good and on bad documents, and the
-share of good ones, from the agreement of the votes, and a document stays if its posterior probability of being good is at least
+expectation-maximisation estimates the accuracy of every rule from the agreement of the votes, and a
+document stays if its posterior probability of being good is at least
 one half.  Everything is DataFrame work; the driver only carries the estimates, one number per rule.
 """
 
@@ -22,18 +22,30 @@ MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 
-#: Rule -> (votes bad, votes good) as SQL over the measured columns; neither is an abstention.
+#: Rule -> (votes bad, votes good) as SQL over the measured columns; neither is an abstention.  Rules
+#: that look for one fault abstain where they do not find it: that says little about all the others.
+NEVER = "false"
 RULES = {
-    "length": ("n_words < 50", "n_words BETWEEN 50 AND 100000"),
-    "repetition": ("n_repeat_words > 0.4 * n_words", "n_repeat_words <= 0.2 * n_words"),
-    "symbols": ("n_symbols > 0.1 * word_chars", "n_symbols <= 0.02 * word_chars"),
-    "word_length": ("word_chars > 12 * n_words OR word_chars < 2.5 * n_words", "word_chars BETWEEN 3.5 * n_words AND 8 * n_words"),
-    "lines": ("n_dup_lines > 0.5 * n_lines", "n_dup_lines <= 0.2 * n_lines"),
-    "letters": ("n_letters < 0.6 * word_chars", "n_letters >= 0.85 * word_chars"),
-    "capitals": ("n_capitals > 0.5 * n_letters", "n_capitals <= 0.2 * n_letters"),
-    "exclamations": ("n_exclamations > 0.5 * n_words", "n_exclamations <= 0.1 * n_words"),
+    "length": ("n_words < 50", NEVER),
+    "repetition": ("n_repeat_words > 0.3 * n_words", NEVER),
+    "symbols": ("n_symbols > 0.05 * word_chars", NEVER),
+    "long_words": ("word_chars > 12 * n_words", NEVER),
+    "short_words": ("n_letters < 3.6 * n_words", NEVER),
+    "lines": ("n_dup_lines > 0.5 * n_lines", NEVER),
+    "letters": ("n_letters < 0.8 * word_chars", NEVER),
+    "capitals": ("n_capitals > 0.5 * n_letters", NEVER),
+    "exclamations": ("n_exclamations > 0.5 * n_words", NEVER),
+    "prose": (
+        NEVER,
+        "n_letters >= 0.85 * word_chars AND n_symbols <= 0.01 * word_chars AND n_capitals <= 0.2 * n_letters "
+        "AND n_exclamations <= 0.1 * n_words",
+    ),
 }
 
+#: What accuracies are shrunk half-way to.  Agreement cannot tell how right a rule is about a fault
+#: that no other rule sees; left alone, the estimate would drift to chance.
+EXPECTED = 0.95
+
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_lines", "n_letters", "n_capitals", "n_exclamations",
@@ -54,18 +66,16 @@ def _repeat_words(words: Column) -> Column:
     """
     high = F.lit(-1 << 31)
     last = F.size(words) - WINDOW
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    packed = F.transform(
-        places,
-        lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]).bitwiseAND(high).bitwiseOR(i.cast("long")),
+    hashes = F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
     )
 
     def met(ordered: Column, part) -> Column:
         """The elements of an ordered array that agree in ``part`` with a neighbour."""
         return F.filter(
             ordered,
-            lambda x, k: (F.coalesce(part(F.get(ordered, k - 1)) == part(x), F.lit(False)))
-            | (F.coalesce(part(F.get(ordered, k + 1)) == part(x), F.lit(False))),
+            lambda x, k: (part(F.get(ordered, k + 1)) == part(x))
+            | F.coalesce(part(F.get(ordered, k - 1)) == part(x), F.lit(False)),
         )
 
     def bound(value: Column, use) -> Column:
@@ -95,8 +105,15 @@ def _repeat_words(words: Column) -> Column:
         return bound(F.array_sort(spelt), lambda s: covered(F.array_sort(F.transform(met(s, alike), lambda x: x["place"]))))
 
     prefix = lambda x: x.bitwiseAND(high)
-    candidates = bound(F.sort_array(packed), lambda s: met(s, prefix))
-    return bound(candidates, lambda c: F.when(F.size(c) == 0, F.lit(0).cast("long")).otherwise(windows(c)))
+    none = F.lit(0).cast("long")
+
+    def counted(h: Column) -> Column:
+        packed = F.transform(h, lambda x, i: prefix(x).bitwiseOR(i.cast("long")))
+        candidates = bound(F.sort_array(packed), lambda s: met(s, prefix))
+        repeated = bound(candidates, lambda c: F.when(F.size(c) == 0, none).otherwise(windows(c)))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(repeated)
+
+    return F.when(last < 0, none).otherwise(bound(hashes, counted))
 
 
 def _dup_lines(lines: Column) -> Column:
@@ -129,20 +146,16 @@ def measured(docs: DataFrame, text_column: str = "text", prefix: str = "") -> Da
 
 @dataclass
 class LabelModel:
-    """Share of good documents, and of every rule that votes the share of right votes on good and on bad ones."""
+    """Of every rule the share of its votes that are right; ``balance`` is the given share of good documents."""
 
-    prior: float = 0.8
-    on_good: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.95))
-    on_bad: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, 0.5))
+    balance: float = 0.6
+    accuracy: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, EXPECTED))
 
     def log_odds(self, prefix: str = "") -> Column:
-        """Log odds of a document being good, from its votes."""
-        total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for rule in RULES:
-            good, bad, vote = self.on_good[rule], self.on_bad[rule], F.col(f"{prefix}vote_{rule}")
-            total = total + (
-                F.when(vote == 1, math.log(good / (1 - bad))).when(vote == -1, math.log((1 - good) / bad)).otherwise(0.0)
-            )
+        """Log odds of a document being good, from its votes; abstentions say nothing."""
+        total = F.lit(math.log(self.balance / (1 - self.balance)))
+        for rule, a in self.accuracy.items():
+            total = total + F.col(f"{prefix}vote_{rule}") * F.lit(math.log(a / (1 - a)))
         return total
 
     def posterior(self, prefix: str = "") -> Column:
@@ -161,9 +174,9 @@ def fit(votes: DataFrame, prefix: str = "", rounds: int = 25, tolerance: float =
     """Expectation-maximisation over the vote patterns of all documents.
 
     ``votes`` is reduced to one row per pattern, at most three to the power of the number of rules
-    whatever the number of documents.  Each round is one aggregate over these.  A rule is right more
-    often than not on good documents and is never certain; on bad ones it may be right seldom, as most
-    rules look for one fault among many.  These limits also tell the two classes apart.
+    whatever the number of documents.  Each round is one aggregate over these.  Estimates are shrunk
+    half-way to ``EXPECTED`` and kept between 0.55 and 0.97: a rule is better than chance, which also
+    tells the two classes apart, and never certain.
     """
     names = [f"{prefix}vote_{rule}" for rule in RULES]
     patterns = stored(votes.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "vote-patterns")
@@ -174,33 +187,19 @@ def fit(votes: DataFrame, prefix: str = "", rounds: int = 25, tolerance: float =
             patterns.withColumn("good", model.posterior(prefix))
             .agg(
                 F.sum("n").alias("n"),
-                F.sum(good).alias("good"),
-                *[F.sum(F.when(F.col(v) == 1, good)).alias(f"right_good_{v}") for v in names],
-                *[F.sum(F.when(F.col(v) != 0, good)).alias(f"cast_good_{v}") for v in names],
-                *[F.sum(F.when(F.col(v) == -1, bad)).alias(f"right_bad_{v}") for v in names],
-                *[F.sum(F.when(F.col(v) != 0, bad)).alias(f"cast_bad_{v}") for v in names],
+                *[F.sum(F.when(F.col(v) == 1, good).when(F.col(v) == -1, bad)).alias(f"right_{v}") for v in names],
+                *[F.sum(F.when(F.col(v) != 0, F.col("n"))).alias(f"cast_{v}") for v in names],
             )
             .first()
         )
         if not row["n"]:
             break
-
-        def share(side: str, rule: str, low: float, before: float) -> float:
-            cast = row[f"cast_{side}_{prefix}vote_{rule}"]
-            right = row[f"right_{side}_{prefix}vote_{rule}"] or 0.0
-            return min(max(right / cast, low), 0.995) if cast else before
-
-        fitted = LabelModel(
-            min(max(row["good"] / row["n"], 0.05), 0.98),
-            {r: share("good", r, 0.6, model.on_good[r]) for r in RULES},
-            {r: share("bad", r, 0.05, model.on_bad[r]) for r in RULES},
-        )
-        change = max(
-            abs(fitted.prior - model.prior),
-            *[abs(fitted.on_good[r] - model.on_good[r]) for r in RULES],
-            *[abs(fitted.on_bad[r] - model.on_bad[r]) for r in RULES],
-        )
-        model = fitted
+        accuracy = {
+            rule: min(max((row[f"right_{v}"] / row[f"cast_{v}"] + EXPECTED) / 2, 0.55), 0.97) if row[f"cast_{v}"] else before
+            for (rule, before), v in zip(model.accuracy.items(), names)
+        }
+        change = max(abs(accuracy[r] - model.accuracy[r]) for r in RULES)
+        model = LabelModel(model.balance, accuracy)
         if change < tolerance:
             break
     return model
