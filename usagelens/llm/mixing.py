@@ -62,7 +62,7 @@ def fit_exponent(shares: DataFrame, target: Target, total: float, points: int =
                 (F.log("z") - F.col("a") * F.col("s") / F.col("z")).alias("entropy"),
                 F.when(
                     F.lit(target.budget is None), F.col("most") / F.col("least")
-                ).otherwise(F.col("most") / F.col("z") * F.lit((target.budget or 0.0) / total)).alias("repetition"),
+                ).otherwise(F.col("most") / F.col("z") * F.lit((target.budget or 0.0) / (total or 1.0))).alias("repetition"),
             )
             .orderBy("a")
             .collect()

@@ -34,12 +34,12 @@ RUN_BITS = 7
 NO_ID = 1 << 62
 
 
-def anchored(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchored(text: np.ndarray, slice_: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the anchors of a text (bytes), and first start and number of the starts bound to each."""
     count = len(text) - LENGTH + 1
     hashes, starts, sizes = [], [], []
-    for low in range(0, max(count, 0), SLICE):
-        part = text[low : min(low + SLICE, count) + LENGTH - 1]
+    for low in range(0, max(count, 0), slice_):
+        part = text[low : min(low + slice_, count) + LENGTH - 1]
         x = (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(29)
         factor, size = 0x9E3779B97F4A7C15, 1
@@ -125,11 +125,11 @@ def _sorted_runs(batches):
     held, size, last = [], 0, None
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(4)]
-        for h, part, kinds, doc, run, context in zip(*columns[:3], columns[3], batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+        for h, part, split, doc, run, context in zip(*columns[:3], columns[3], batch.column(4).to_pylist(), batch.column(5).to_pylist()):
             if size > BATCH_BYTES and (h, part) != last:
                 yield from _removed(held)
                 held, size = [], 0
-            held.append((h, part, kinds > CONTEXTS, doc, run, context))
+            held.append((h, part, split, doc, run, context))
             size += len(context)
             last = (h, part)
     if held:
@@ -236,10 +236,11 @@ def _free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_runs(texts: DataFrame) -> DataFrame:
+def repeated_runs(texts: DataFrame, together: int = CONTEXTS) -> DataFrame:
     """Runs of starts (``doc``, ``run``) whose ``LENGTH``-byte string starts earlier as well.
 
-    ``texts`` holds ``key`` (order of the documents) and ``text`` (binary).
+    ``texts`` holds ``key`` (order of the documents) and ``text`` (binary); up to ``together`` contexts
+    of an anchor are sorted together.
     """
     spark = texts.sparkSession
     hashes = map_batches(texts, _anchor_hashes, "h long")
@@ -265,10 +266,10 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     spelt = texts.join(wanted, F.col("key") == F.col("doc")).select("key", "text", "wanted")
     spelt = map_batches(spelt, _contexts, "h long, kinds long, doc long, run long, context binary")
     # A large group is split by a hash of the place.
-    parts = F.ceil(F.col("kinds") / F.lit(CONTEXTS))
+    parts = F.ceil(F.col("kinds") / F.lit(together))
     spelt = spelt.withColumn("part", F.pmod(F.xxhash64("doc", "run"), parts))
     dealt = spelt.repartition("h", "part").sortWithinPartitions("h", "part")
-    dealt = dealt.select("h", "part", "kinds", "doc", "run", "context")
+    dealt = dealt.select("h", "part", (F.col("kinds") > together).alias("split"), "doc", "run", "context")
     runs = stored(map_batches(dealt, _sorted_runs, "h long, w long, doc long, run long, single boolean"), "runs")
     _free_shuffles(spark)
     # Strings of split groups: all but the first over the parts.
@@ -282,7 +283,8 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     return later.unionByName(runs.where("single").select("doc", "run")).unionByName(across)
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                   together: int = CONTEXTS) -> DataFrame:
     """One row per document: ``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     Removed is every byte covered by a string of ``LENGTH`` bytes that also starts earlier: in a
@@ -295,6 +297,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     id_ = F.col(id_column).cast("long")
     key = F.coalesce(id_, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
     rows = docs.select(id_.alias("id"), key.alias("key"), text.cast("binary").alias("text"))
-    runs = repeated_runs(rows.select("key", "text")).groupBy("doc").agg(F.collect_list("run").alias("runs"))
+    runs = repeated_runs(rows.select("key", "text"), together).groupBy("doc").agg(F.collect_list("run").alias("runs"))
     joined = rows.join(runs, F.col("key") == F.col("doc"), "left").select("id", "text", "runs")
     return map_batches(joined, _cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
