@@ -2,8 +2,8 @@
 
 All coordinates of a signature come from two permutations: the first places a shingle, the second is
 read at that place shifted by the coordinate's number.  Documents whose signatures agree in a band
-share a bucket.  Buckets are resolved without forming all pairs of their members: members are compared
-with pivots, and what is left between different components of a bucket is compared in full.
+share a bucket.  Buckets are resolved without forming the pairs of their members: members are compared
+with pivots, and what is left between different components of a bucket is compared in blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 #: Shingles of a batch that are hashed at a time: their coordinates stay in the processor's cache.
 BLOCK = 1 << 15
+#: Documents in a block of the last comparison; a task holds two blocks.
+TOGETHER = 256
+#: Shingles of two blocks that are compared by a matrix product; beyond, pairs are merged one by one.
+MATRIX_SHINGLES = 1 << 21
+COLUMNS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -150,10 +155,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
                 other = shingles(right.as_py(), settings.words)
                 if settings.percent * max(len(own), len(other)) > 100 * min(len(own), len(other)):
                     continue
-                merged = np.concatenate([own, other])
-                merged.sort()
-                common = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                if 100 * common >= settings.percent * (len(merged) - common):
+                if _similar(own, other, settings):
                     linked.append(i)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a[i] for i in linked], pa.int64()), pa.array([b[i] for i in linked], pa.int64())], ["a", "b"]
@@ -165,6 +167,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (``node``, ``component``) after the components that ``links`` join are merged."""
     of = lambda end: labels.selectExpr(f"node AS {end}", f"component AS {end}_component")
+    if links.isEmpty():
+        return labels
     between = links.join(of("a"), "a").join(of("b"), "b").selectExpr("a_component AS a", "b_component AS b").distinct()
     merged = components(between).selectExpr("node AS old", "component AS new")
     renamed = labels.join(merged, F.col("component") == F.col("old"), "left")
@@ -183,16 +187,118 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labelled.join(stored(mixed, "mixed"), "key"), "open-members")
 
 
-def _crossing(opened: DataFrame) -> tuple[int, int]:
-    """Number of members of open buckets, and of their pairs in different components, before repeats."""
-    sizes = opened.groupBy("key", "component").agg(F.count("*").alias("n"))
-    totals = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    row = totals.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
-    return int(row["n"] or 0), int(row["pairs"] or 0)
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of incidence matrices over blocks of shingles."""
+    n = len(sets)
+    result = np.zeros((n, n), np.float32)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    owner, column = owner[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    if len(column):
+        column = np.cumsum(np.append(False, column[1:] != column[:-1]))
+        for low in range(0, int(column[-1]) + 1, COLUMNS):
+            begin, end = np.searchsorted(column, [low, low + COLUMNS])
+            block = np.zeros((n, COLUMNS), np.float32)
+            block[owner[begin:end], column[begin:end] - low] = 1
+            result += block @ block.T
+    sizes = [len(s) for s in sets]
+    result[np.arange(n), np.arange(n)] = sizes
+    return result.astype(np.int64)
+
+
+def _links_within(rows: list[tuple], settings: Settings) -> list[tuple[int, int]]:
+    """Links between different components among the documents of two blocks, one for each that joins two.
+
+    ``rows`` holds block, node, component and text.
+    """
+    sets = [shingles(r[3], settings.words) for r in rows]
+    block, component = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    sizes = np.array([len(s) for s in sets])
+    # Of two blocks only pairs across; within a block it has a task of its own.
+    apart = component[:, None] != component[None, :]
+    if (block != block[0]).any():
+        apart &= block[:, None] != block[None, :]
+    if sizes.sum() <= MATRIX_SHINGLES:
+        common = _overlaps(sets)
+        alike = 100 * common >= settings.percent * (sizes[:, None] + sizes[None, :] - common)
+        found = np.argwhere(np.triu(apart & alike, 1)).tolist()
+    else:
+        possible = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= settings.percent * np.maximum(sizes[:, None], sizes[None, :])
+        found = [(x, y) for x, y in np.argwhere(np.triu(apart & possible, 1)).tolist() if _similar(sets[x], sets[y], settings)]
+    of = {c: c for c in component.tolist()}
+
+    def root(c):
+        while of[c] != c:
+            of[c] = of[of[c]]
+            c = of[c]
+        return c
+
+    links = []
+    for x, y in found:
+        a, b = root(rows[x][2]), root(rows[y][2])
+        if a != b:
+            of[max(a, b)] = min(a, b)
+            links.append((rows[x][1], rows[y][1]))
+    return links
+
+
+def _similar(one: np.ndarray, other: np.ndarray, settings: Settings) -> bool:
+    merged = np.concatenate([one, other])
+    merged.sort()
+    common = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return 100 * common >= settings.percent * (len(merged) - common)
+
+
+def _remaining_links(opened: DataFrame, texts: DataFrame, settings: Settings, together: int = TOGETHER) -> DataFrame:
+    """Links between different components of open buckets.
+
+    Open buckets that share members are one cluster.  A cluster is dealt into blocks, and every two
+    blocks meet in a task, which puts out links only; no pair of documents becomes a row.
+    """
+    hubs = stored(opened.groupBy("key").agg(F.min("node").alias("hub")), "hubs")
+    edges = opened.join(hubs, "key").where("node <> hub").selectExpr("node AS a", "hub AS b").distinct()
+    clusters = components(edges).withColumnRenamed("component", "cluster")
+    members = stored(opened.select("node", "component").distinct().join(clusters, "node"), "clustered")
+    sizes = stored(
+        members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("blocks")), "clusters"
+    )
+    dealt = members.join(sizes, "cluster").withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)"))
+    dealt = dealt.join(texts, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "cluster", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"),
+        "block", "node", "component", "text",
+    )
+    dealt = dealt.repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second")
+
+    def compare(batches):
+        held, last = [], None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            links = []
+            for *where, block, node, component, text in zip(*columns):
+                if where != last and held:
+                    links += _links_within(held, settings)
+                    held = []
+                last = where
+                held.append((block, node, component, text))
+            yield _link_batch(links)
+        if held:
+            yield _link_batch(_links_within(held, settings))
+
+    return map_batches(dealt, compare, "a long, b long")
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"]
+    )
 
 
 def find_groups(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id",
-                text_column: str = "text", pivot_rounds: int = 6) -> DataFrame:
+                text_column: str = "text", pivot_rounds: int = 1) -> DataFrame:
     """One row per document: ``id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents are linked if their shingle sets have a similarity of at least ``settings.percent``;
@@ -201,10 +307,10 @@ def find_groups(docs: DataFrame, settings: Settings = Settings(), id_column: str
     NULL, and only the latter are kept.  Rows that share an id are one document.  An empty table gives
     an empty result.
 
-    Equal sets are one node.  In a bucket, members are first compared with the smallest node, then, for
-    as long as the pairs between different components are many, with one more pivot each that a hash
-    picks; these rounds only save work.  At the end every pair of a bucket that lies in different
-    components and was not compared yet is compared, so no link that banding offers is lost.
+    Equal sets are one node.  In a bucket, members are first compared with the smallest node, then with
+    one more pivot that a hash picks in each of ``pivot_rounds``; these only save work.  At the end all
+    documents that share a bucket and lie in different components are compared, so no link that
+    banding offers is lost.
     """
     signed = stored(_signed(docs, settings, id_column, text_column), "signatures")
     nodes = stored(
@@ -225,25 +331,14 @@ def find_groups(docs: DataFrame, settings: Settings = Settings(), id_column: str
     texts = stored(texts.join(found, F.col("id") == F.col("node"), "left_semi").selectExpr("id AS node", "text"), "texts")
 
     labels = stored(found.selectExpr("node", "node AS component"), "components")
-    tried = stored(members.where("node <> pivot").selectExpr("node AS a", "pivot AS b").distinct(), "pairs")
+    pairs = stored(members.where("node <> pivot").selectExpr("node AS a", "pivot AS b").distinct(), "pairs")
     members = members.select("key", "node")
-    pairs = tried
     for attempt in range(pivot_rounds + 1):
-        links = stored(_verified(pairs, texts, settings), "links")
-        if not links.isEmpty():
-            labels = _relabelled(labels, links)
+        labels = _relabelled(labels, stored(_verified(pairs, texts, settings), "links"))
         opened = _open_buckets(members, labels)
-        n, crossing = _crossing(opened)
-        if crossing == 0:
-            break
-        last = attempt == pivot_rounds or crossing <= 4 * n or links.isEmpty()
-        pairs = stored(_pairs_between(opened, None if last else attempt).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if last:
-            links = stored(_verified(pairs, texts, settings), "links")
-            if not links.isEmpty():
-                labels = _relabelled(labels, links)
-            break
-        tried = stored(tried.union(pairs), "tried")
+        if attempt < pivot_rounds:
+            pairs = stored(_pairs_with_pivots(opened, attempt), "pairs")
+    labels = _relabelled(labels, stored(_remaining_links(opened, texts, settings), "links"))
 
     grouped = stored(
         nodes.select("print", "node").join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component_id")),
@@ -256,16 +351,12 @@ def find_groups(docs: DataFrame, settings: Settings = Settings(), id_column: str
     )
 
 
-def _pairs_between(opened: DataFrame, attempt: int | None) -> DataFrame:
-    """Pairs (``a`` over ``b``) in different components of a bucket: with one pivot, or all."""
-    if attempt is None:
-        other = opened.selectExpr("key", "node AS other", "component AS its")
-        pairs = opened.join(other, "key").where("component < its")
-    else:
-        chance = F.xxhash64(F.lit(attempt), "key", "node")
-        pivots = opened.groupBy("key").agg(F.min(F.struct(chance.alias("chance"), "node", "component")).alias("pivot"))
-        pivots = stored(pivots.selectExpr("key", "pivot.node AS other", "pivot.component AS its"), "pivots")
-        pairs = opened.join(pivots, "key").where("component <> its")
+def _pairs_with_pivots(opened: DataFrame, attempt: int) -> DataFrame:
+    """Members (``a`` over ``b``) of open buckets with one pivot each that lies in another component."""
+    chance = F.xxhash64(F.lit(attempt), "key", "node")
+    pivots = opened.groupBy("key").agg(F.min(F.struct(chance.alias("chance"), "node", "component")).alias("pivot"))
+    pivots = stored(pivots.selectExpr("key", "pivot.node AS other", "pivot.component AS its"), "pivots")
+    pairs = opened.join(pivots, "key").where("component <> its")
     return pairs.selectExpr("greatest(node, other) AS a", "least(node, other) AS b").distinct()
 
 
