@@ -117,7 +117,10 @@ class Oracle:
 
     @property
     def all_base(self) -> str:
-        return f"execution_status = 'SUCCESS' AND warehouse_size IS NOT NULL AND {self.window}"
+        return (
+            "execution_status = 'SUCCESS' AND warehouse_size IS NOT NULL AND warehouse_name IS NOT NULL "
+            f"AND {self.window}"
+        )
 
     @property
     def of_warehouse(self) -> str:
@@ -386,7 +389,6 @@ class Oracle:
             "accel_eligible": self.accel_eligible(),
             "warehouse_summary": self.warehouse_summary(),
             "warehouse_detail": self.warehouse_detail(),
-            "warehouse_detail_narrowed": self.warehouse_detail(),
             "local_spill_histogram_by_start": self.local_spill_histogram_by_start(),
             "accounts_seed": ACCOUNTS,
             "accounts_view": ACCOUNTS,
@@ -407,10 +409,11 @@ DOCUMENT_EXTRACT = (
     "'lang': regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)}) AS VARCHAR) AS json_content FROM pages"
 )
 
-#: The statement of the ``statement_*`` queries; both engines run it as it is.
+#: Twin of the statement of the ``statement_*`` queries, for all but the first warehouse.
 STATEMENT = (
-    "SELECT warehouse_name, count(*) AS queries, count(CASE WHEN execution_status = 'FAIL' THEN 1 END) AS failed, "
-    "max(total_elapsed_time) AS longest_ms FROM query_history GROUP BY warehouse_name"
+    "SELECT warehouse_name, count(*) AS queries, sum(CAST(execution_status = 'FAIL' AS BIGINT))::BIGINT AS failed, "
+    "max(total_elapsed_time) AS longest_ms FROM query_history "
+    "WHERE total_elapsed_time BETWEEN 1000 AND 600000 AND warehouse_name <> 'WH_0' GROUP BY ALL"
 )
 
 

@@ -8,28 +8,25 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from usagelens import session
+from usagelens.operators import medians
 from usagelens.operators.medians import exact_medians
-from usagelens.session import settle
 
 
-def twice_medians(spark, groups, slices, distinct_limit):
+def frame(spark, groups):
     rows = [(k, a, b) for k, values in groups.items() for a, b in values]
-    df = spark.createDataFrame(rows, "k string, a bigint, b bigint").repartition(3)
-    measured = settle(
-        df.groupBy("k").agg(
-            *[f(m).alias(f"{m}__{n}") for m in ("a", "b") for n, f in (("count", F.count), ("max", F.max))],
-            *[F.expr(f"count(CASE WHEN {m} = 0 THEN 1 END) AS {m}__zeros") for m in ("a", "b")],
-        ),
-        "test",
-    )
-    result = exact_medians(df, ["k"], ["a", "b"], measured, slices, distinct_limit).collect()
+    return spark.createDataFrame(rows, "k string, a bigint, b bigint").repartition(3)
+
+
+def twice_medians(spark, groups, slices, distinct_limit):
+    result = exact_medians(frame(spark, groups), ["k"], ["a", "b"], slices, distinct_limit).collect()
     return {r["k"]: tuple(None if r[m] is None else int(r[m]) for m in ("a", "b")) for r in result}
 
 
 def expected(groups):
     def twice(values):
         present = [v for v in values if v is not None]
-        return int(statistics.median(present) * 2) if present else None
+        return statistics.median_low(present) + statistics.median_high(present) if present else None
 
     return {k: (twice([a for a, _ in v]), twice([b for _, b in v])) for k, v in groups.items()}
 
@@ -70,11 +67,59 @@ def test_mostly_zero(spark):
     assert twice_medians(spark, groups, 4, 1) == {"odd": (0, 0), "even": (8, 8), "zero": (0, 0)}
 
 
-def test_without_broadcast(spark):
+def test_values_beyond_doubles(spark):
+    odd, top = (1 << 53) + 1, (1 << 63) - 1
+    groups = {"odd": [(odd, top)] * 3, "sum": [(odd, top), (odd + 1, top - 1)], "far": [(0, 1), (1 << 62, odd)]}
+    assert twice_medians(spark, groups, 4, 1) == expected(groups)
+    assert expected(groups)["odd"] == (18014398509481986, 2 * top)
+
+
+@pytest.fixture
+def no_broadcast(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_without_broadcast(spark, no_broadcast):
     groups = generated(3)
+    assert twice_medians(spark, groups, 16, 8) == expected(groups)
+
+
+def test_hot_group_is_joined_and_counted_in_many_tasks(spark, no_broadcast):
+    groups = {"hot": [(v * 977, v) for v in range(5000)], "cold": [(v, v) for v in range(50)]}
+    rows = frame(spark, groups)
+    state = medians._first_pass(rows, ["k"], ["a"])
+    narrowed = medians._narrow(rows, ["k"], [(0, "a")], state.where("low_value IS NULL"), 16, 1)
+    plan = narrowed._jdf.queryExecution().executedPlan().toString().replace("#", " ")
+    # From the top: the slices' own shuffle lies between the final count of slices and the salted join.
+    lines = plan.splitlines()
+    final = next(i for i, line in enumerate(lines) if "Aggregate(keys=[k" in line and ", slice" in line)
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line and "salt" in line)
+    assert any("Exchange hashpartitioning(k" in line and ", slice" in line for line in lines[final:join])
+    salt = F.expr(f"CAST(pmod(xxhash64(a), {medians.SALTS}) AS INT)")
+    dealt = rows.where("k = 'hot'").groupBy(salt.alias("salt")).count().collect()
+    assert len(dealt) == medians.SALTS and max(r["count"] for r in dealt) < 3 * 5000 / medians.SALTS
+
+
+def test_passes(spark):
+    """Values over many powers of two are found with one pass after the first."""
+    draw = random.Random(7)
+    groups = {"g": [(1 << draw.randrange(40) | draw.randrange(1 << 20), draw.randrange(9)) for _ in range(3000)]}
+    calls = []
+    narrow = medians._narrow
+    medians._narrow = lambda *args: calls.append(1) or narrow(*args)
     try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        assert twice_medians(spark, groups, 16, 8) == expected(groups)
+        assert twice_medians(spark, groups, 4096, 1 << 16) == expected(groups)
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        medians._narrow = narrow
+    assert len(calls) <= 1
+
+
+def test_nothing_is_left_behind(spark, tmp_path, monkeypatch):
+    groups = generated(4)
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    assert twice_medians(spark, groups, 4, 1) == expected(groups)
+    # Only the last state is kept, until the end of the application.
+    assert len(list(tmp_path.glob("*/medians-*"))) == 1

@@ -7,7 +7,9 @@ from helpers import history
 from usagelens.functions.period import Period
 from usagelens.plans import reports
 from usagelens.plans.profile import _group_aggregates
-from usagelens.sources.tables import read_query_history
+from usagelens.plans.summary import credits_per_warehouse
+from usagelens.sources.tables import read_query_history, read_usage_tables
+from usagelens.sources.testdata import usage_tables
 
 PERIOD = Period.of("2024-01-05 00:00:00", "2024-01-20 23:59:00")
 
@@ -61,6 +63,23 @@ def test_days_prune_partitions(spark, tmp_path):
     assert result.count() == 1
 
 
+def test_days_prune_every_table(spark, tmp_path):
+    tables = usage_tables(spark, "/root/testdata/sf0.001")
+    for name in ("query_history", "warehouse_metering_history", "query_acceleration_eligible"):
+        by_day = getattr(tables, name).selectExpr("*", "CAST(start_time AS DATE) AS start_date")
+        by_day.write.partitionBy("start_date").parquet(str(tmp_path / name))
+    tables.warehouses.write.parquet(str(tmp_path / "warehouses"))
+    stored = read_usage_tables(spark, str(tmp_path), by_day=True)
+    for df in (
+        reports.accel_eligible(stored.query_acceleration_eligible, PERIOD),
+        credits_per_warehouse(stored.warehouse_metering_history, PERIOD),
+    ):
+        filters = detail(plan(df), "PartitionFilters")
+        assert "2024-01-04" in filters and "2024-01-21" in filters
+    expected = credits_per_warehouse(tables.warehouse_metering_history, PERIOD).collect()
+    assert sorted(credits_per_warehouse(stored.warehouse_metering_history, PERIOD).collect()) == sorted(expected)
+
+
 def test_profile_aggregate_stays_in_generated_code():
     # Every exact sum has two buffers; the keys come on top.
     buffers = sum(2 if "shiftright" in a else 1 for a in _group_aggregates())

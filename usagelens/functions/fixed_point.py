@@ -33,11 +33,14 @@ _LIMB_BITS = 20
 def divide_half_up(numerator: str, denominator: str | int, digits: int = 0) -> str:
     """``numerator / denominator`` in units of ``10**-digits``, rounded half up, as ``bigint``.
 
-    NULL on a zero divisor, also in ANSI mode.
+    NULL on a zero divisor, also in ANSI mode.  With a constant divisor only the remainder is scaled
+    before the division, so a ``bigint`` numerator may have any value whose result is one.
     """
     factor = 2 * 10**digits
     if isinstance(denominator, int):
-        return f"((({numerator}) * {factor}L + {denominator}L) div {2 * denominator}L)"
+        whole = f"({numerator}) div {denominator}L"
+        rest = f"((({numerator}) % {denominator}L) * {factor}L + {denominator}L) div {2 * denominator}L"
+        return f"(({whole}) * {10**digits}L + ({rest}))"
     return f"((({numerator}) * {factor}L + ({denominator})) div nullif(({denominator}) * 2, 0))"
 
 
@@ -68,9 +71,11 @@ def ratio_micros(part: str, whole: str) -> str:
 def percent_text(part: str, whole: str, digits: int) -> str:
     """Share of ``part`` in ``whole`` as text with a fixed number of decimals, e.g. ``12.50%``.
 
-    The ratio is rounded to six decimals first, the percentage after that.
+    The ratio is rounded to six decimals first, the percentage after that.  Both are aggregated counts
+    of any size.
     """
-    percent = as_decimal(divide_half_up(ratio_micros(part, whole), MICROS_PER_PERCENT, digits), digits)
+    micros = ratio_micros(f"CAST({part} AS DECIMAL(38,0))", f"CAST({whole} AS DECIMAL(38,0))")
+    percent = as_decimal(divide_half_up(micros, MICROS_PER_PERCENT, digits), digits)
     return f"concat(CAST({percent} AS STRING), '%')"
 
 

@@ -69,13 +69,17 @@ class Period:
             low, high = (
                 F.convert_timezone(F.lit(self.zone), F.lit("UTC"), _ntz(t)) for t in (self.begin, self.end)
             )
-        if PARTITION_COLUMN in df.columns:
-            # Zone offsets are under one day, so a day of slack on both sides never loses a row.
-            day = timedelta(days=1)
-            df = df.where(F.col(PARTITION_COLUMN).between(
-                F.lit((self.begin - day).date()), F.lit((self.end + day).date())
-            ))
-        return df.where((F.col(column) >= low) & (F.col(column) <= high))
+        return self._days(df).where((F.col(column) >= low) & (F.col(column) <= high))
+
+    def _days(self, df: DataFrame) -> DataFrame:
+        """Of a table stored by day, the days that can hold rows of the window."""
+        if PARTITION_COLUMN not in df.columns:
+            return df
+        # Zone offsets are under one day, so a day of slack on both sides never loses a row.
+        day = timedelta(days=1)
+        return df.where(
+            F.col(PARTITION_COLUMN).between(F.lit((self.begin - day).date()), F.lit((self.end + day).date()))
+        )
 
     def days_of(self, df: DataFrame, column: str = "start_time") -> DataFrame:
         """Rows between the midnights of the first and the last day, in stored time.
@@ -85,7 +89,7 @@ class Period:
         """
         kind = "timestamp" if _has_instants(df, column) else "timestamp_ntz"
         low, high = (F.lit(t.date().isoformat()).cast(kind) for t in (self.begin, self.end))
-        return df.where((F.col(column) >= low) & (F.col(column) <= high))
+        return self._days(df).where((F.col(column) >= low) & (F.col(column) <= high))
 
     def local_time(self, df: DataFrame, column: str = "start_time") -> str:
         """SQL expression: the stored time as wall clock of the report zone."""

@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from ..sources import schemas
-
-# The rows of the seed load.
-SEED_ROWS = (
-    (1, "Joe", "Snowflake"),
-    (2, "Nima", "Snowflake"),
-    (3, "Sally", "Snowflake"),
-    (4, "Juan", "Acme"),
-)
+import uuid
 
+from pyspark.sql import DataFrame
 
-def seed_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SEED_ROWS), schemas.ACCOUNTS)
+from ..session import hadoop_path
+from ..sources import schemas
 
 
 def load_accounts(accounts: DataFrame, path: str) -> DataFrame:
     """Create the table at ``path`` if missing, replace its rows, and return it.
 
-    Running the load again leaves the same table.
+    Running the load again leaves the same table.  Rows that are read from ``path`` itself are
+    rejected: replacing a table while it is read loses it.
     """
+    spark = accounts.sparkSession
+    target, files = hadoop_path(spark, path)
+    folder = files.makeQualified(target).toUri().getPath().rstrip("/")
+    sources = [spark._jvm.org.apache.hadoop.fs.Path(f).toUri().getPath() for f in accounts.inputFiles()]
+    if any(source.startswith(f"{folder}/") for source in sources):
+        raise ValueError(f"the rows come from {path}, which they are to replace")
     columns = [accounts[f.name].cast(f.dataType).alias(f.name) for f in schemas.ACCOUNTS]
     accounts.select(*columns).write.mode("overwrite").parquet(path)
-    return accounts.sparkSession.read.schema(schemas.ACCOUNTS).parquet(path)
-
-
-def accounts_view(accounts: DataFrame, name: str = "accounts_view") -> DataFrame:
-    """Register the projection of the accounts table as a view and read it."""
-    accounts.select("id", "name", "value").createOrReplaceTempView(name)
-    return accounts.sparkSession.table(name)
+    return spark.read.schema(schemas.ACCOUNTS).parquet(path)
+
+
+def accounts_view(accounts: DataFrame, name: str | None = None) -> DataFrame:
+    """The projection of the accounts table as a view; registered under ``name`` if one is given."""
+    projected = accounts.select("id", "name", "value")
+    view = name or f"accounts_{uuid.uuid4().hex}"
+    projected.createOrReplaceTempView(view)
+    result = accounts.sparkSession.table(view)
+    if name is None:
+        accounts.sparkSession.catalog.dropTempView(view)
+    return result

@@ -20,7 +20,8 @@ def successful_queries(history: DataFrame, period: Period, warehouse: str | None
 
 
 def of_warehouse(rows: DataFrame, warehouse: str | None) -> DataFrame:
-    return rows if warehouse is None else rows.where(F.col("warehouse_name") == F.lit(warehouse))
+    """Rows of one warehouse or of all; a row without a warehouse belongs to no report."""
+    return rows.where(F.col("warehouse_name").isNotNull()) if warehouse is None else rows.where(F.col("warehouse_name") == F.lit(warehouse))
 
 
 # The known sizes, smallest first.

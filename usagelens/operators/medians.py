@@ -1,90 +1,100 @@
 """Exact medians of ``bigint`` measures for groups of any size.
 
 Spark's own ``median`` keeps all distinct values of a group in the memory of one task, which does not
-hold for a group with a third of a very large table.  The medians here are found by narrowing: for
-every group and measure, count the rows in equal slices of the open value range, keep the slice that
-holds the middle ranks, and repeat.  Only slice counters are shuffled, and a group's counters are
-bounded by a constant.  Ranks are followed with exact counts, so nothing is approximated.
+hold for a group with a third of a very large table, and returns a double, which does not hold large
+values.  The medians here are found by narrowing: for every group and measure, count the rows in
+slices of the values, keep the slice that holds the middle ranks, and repeat.  Only slice counters are
+shuffled, and a group's counters are bounded by a constant.  Every slice carries its exact count,
+minimum and maximum, so nothing is approximated.
+
+The first slices are logarithmic.  They need neither ranges nor a join, and as measures span many
+powers of two, one of them holds a small part of the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import Settled, settle
 
-#: Slices per group and measure while a range is still wide.
+#: Slices per power of two in the first pass: at most 64 * 63 and one for zero.
+SLICES_PER_DOUBLING = 64
+#: Slices per group and measure in later passes, while a range is still wide.
 SLICES = 4096
 #: Once a range holds at most this many rows or values, every value becomes its own slice.
 DISTINCT_LIMIT = 1 << 16
+#: Copies of each group's ranges, so that the rows of one group are joined in as many places.
+SALTS = 32
 
 
 def exact_medians(
     rows: DataFrame,
     keys: Sequence[str],
     measures: Sequence[str],
-    statistics: DataFrame,
     slices: int = SLICES,
     distinct_limit: int = DISTINCT_LIMIT,
 ) -> DataFrame:
     """Per group, the sum of the two middle values of every measure (twice the median).
 
-    ``rows`` holds ``keys`` and non-negative ``bigint`` ``measures``; NULLs are left out.
-    ``statistics`` holds one row per group with ``<measure>__count`` (of non-NULL values),
-    ``<measure>__zeros`` (of zeros) and ``<measure>__max`` of all measures; it is read several times,
-    so it should be a stored table.  A measure without values gives NULL.
+    ``rows`` holds ``keys`` (not NULL) and non-negative ``bigint`` ``measures``; NULLs are left out.  A
+    measure without values gives NULL, a group without any value gives no row.
 
-    A measure that is zero for more than half of a group, as waits and spills mostly are, is settled
-    by the statistics alone.
-
-    Each narrowing pass is a job.  It scans only the keys and the measures still open, and divides
-    a range by ``slices``; byte counts up to petabytes take at most five passes.
+    Each pass is a job that scans the keys and the measures still open: one pass for measures that are
+    mostly one value, usually two, and at most five for byte counts up to petabytes.
     """
     keys, measures = list(keys), list(measures)
-    state = _opening_state(statistics, keys, measures)
-    solved = [state.where("low_value IS NOT NULL")]
-    state = state.where("low_value IS NULL")
-    while open_measures := [(i, measures[i]) for i in _open_positions(state)]:
-        state = settle(_narrow(rows, keys, open_measures, state, slices, distinct_limit), "medians")
-        solved.append(state.where("low_value IS NOT NULL"))
-        state = state.where("low_value IS NULL")
+    state = settle(_first_pass(rows, keys, measures), "medians")
+    while open_measures := [(i, measures[i]) for i in _open_positions(state.df)]:
+        narrowed = _narrow(rows, keys, open_measures, state.df.where("low_value IS NULL"), slices, distinct_limit)
+        # Solved medians are carried along, so the last table is all that is needed.
+        state = _replaced(state, state.df.where("low_value IS NOT NULL").unionByName(narrowed))
     twice = F.expr("max(CAST(low_value AS DECIMAL(19,0)) + CAST(high_value AS DECIMAL(19,0)))")
-    positions = list(range(len(measures)))
-    medians = reduce(DataFrame.unionByName, solved).groupBy(*keys).pivot("measure", positions).agg(twice)
+    medians = state.df.groupBy(*keys).pivot("measure", list(range(len(measures)))).agg(twice)
     return medians.selectExpr(*keys, *[f"`{i}` AS {m}" for i, m in enumerate(measures)])
 
 
+def _replaced(old: Settled, df: DataFrame) -> Settled:
+    new = settle(df, "medians")
+    old.drop()
+    return new
+
+
 def _open_positions(state: DataFrame) -> list[int]:
     """Positions of the measures to go on with: at most as many rows as there are measures."""
-    return sorted(row.measure for row in state.select("measure").distinct().collect())
+    return sorted(row.measure for row in state.where("low_value IS NULL").select("measure").distinct().collect())
 
 
-def _opening_state(statistics: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """One row per group and measure (by position): the full value range and the two middle ranks."""
-    packed = ", ".join(
-        f"named_struct('measure', {i}, 'inside', {m}__count, 'zeros', {m}__zeros, 'high', {m}__max)"
-        for i, m in enumerate(measures)
-    )
-    middle_is_zero = "CASE WHEN zeros >= inside div 2 + 1 THEN 0L END"
+def _counted(rows: DataFrame, keys: list[str], sliced: dict[int, tuple[str, str]]) -> DataFrame:
+    """Counters per group, measure and slice; ``sliced`` gives slice and value of each position."""
+    # Slices are worked out ahead of the generator, whose own expressions compile badly.
+    columns = [f"{slice_} AS slice{i}" for i, (slice_, _) in sliced.items()]
+    stacked = ", ".join(f"{i}, slice{i}, {value}" for i, (_, value) in sliced.items())
     return (
-        statistics.selectExpr(*keys, f"inline(array({packed}))")
-        .where("inside > 0")
-        .selectExpr(
-            *keys,
-            "measure",
-            "0L AS low",
-            "high",
-            "inside",
-            "(inside + 1) div 2 AS low_rank",
-            "inside div 2 + 1 AS high_rank",
-            f"{middle_is_zero} AS low_value",
-            f"{middle_is_zero} AS high_value",
-        )
+        rows.selectExpr("*", *columns)
+        .selectExpr(*keys, f"stack({len(sliced)}, {stacked}) AS (measure, slice, value)")
+        .where("slice IS NOT NULL")
+        .groupBy(*keys, "measure", "slice")
+        .agg(F.expr("count(*) AS inside"), F.expr("min(value) AS low"), F.expr("max(value) AS high"))
+    )
+
+
+def _first_pass(rows: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """The logarithmic slice of the middle ranks of every group and measure."""
+    # Never falls as the value grows; zero has a slice of its own.
+    slice_of = (
+        "CASE WHEN {0} > 0 THEN 1 + CAST(floor(log2({0}) * " + str(SLICES_PER_DOUBLING) + ") AS INT) "
+        "WHEN {0} = 0 THEN 0 END"
+    )
+    sliced = {i: (slice_of.format(m), m) for i, m in enumerate(measures)}
+    counted = _counted(rows.select(*keys, *measures), keys, sliced)
+    total = f"sum(inside) OVER (PARTITION BY {', '.join(keys)}, measure)"
+    ranked = counted.selectExpr("*", f"{total} AS total").selectExpr(
+        "*", "(total + 1) div 2 AS low_rank", "total div 2 + 1 AS high_rank"
     )
+    return _middle(ranked, [*keys, "measure"])
 
 
 def _narrow(
@@ -95,40 +105,44 @@ def _narrow(
     slices: int,
     distinct_limit: int,
 ) -> DataFrame:
-    """One pass: slice every open range, keep the slice of the middle ranks."""
-    group = [*keys, "measure"]
+    """One more pass: slice every open range evenly, keep the slice of the middle ranks.
+
+    Rows meet their group's ranges by key and a salt made of the measures.  The salt is no grouping
+    column, so the slices are aggregated before a shuffle of their own, and a group with most of the
+    rows is joined and counted in many tasks.
+    """
     span = "(high - low + 1)"
     width = (
         f"CASE WHEN least(inside, {span}) <= {distinct_limit}L THEN 1L "
         f"ELSE ({span} + {slices - 1}) div {slices}L END"
     )
-    # One row per group, so that a row of the big side meets its ranges in a single lookup.
+    # One row per group and salt, so that a row of the big side meets its ranges in a single lookup.
     ranges = (
         state.groupBy(*keys)
         .pivot("measure", [i for i, _ in open_measures])
         .agg(F.expr("max(low) AS low"), F.expr("max(high) AS high"), F.expr(f"max({width}) AS width"))
+        .selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS salt")
     )
-    slice_columns = [
-        f"CASE WHEN {m} >= `{i}_low` AND {m} <= `{i}_high` THEN ({m} - `{i}_low`) div `{i}_width` END AS slice{i}"
+    sliced = {
+        i: (f"CASE WHEN {m} >= `{i}_low` AND {m} <= `{i}_high` THEN ({m} - `{i}_low`) div `{i}_width` END", m)
         for i, m in open_measures
-    ]
-    stacked = ", ".join(f"{i}, slice{i}, {m}" for i, m in open_measures)
-    counted = (
-        rows.select(*keys, *[m for _, m in open_measures])
-        .join(ranges, keys)
-        # Slices are worked out ahead of the generator, whose own expressions compile badly.
-        .selectExpr("*", *slice_columns)
-        .selectExpr(*keys, f"stack({len(open_measures)}, {stacked}) AS (measure, slice, value)")
-        .where("slice IS NOT NULL")
-        .groupBy(*group, "slice")
-        .agg(F.expr("count(*) AS inside"), F.expr("min(value) AS low"), F.expr("max(value) AS high"))
-    )
-    # At most max(slices, distinct_limit) rows per group and measure.
+    }
+    names = [m for _, m in open_measures]
+    salted = rows.selectExpr(*keys, *names, f"CAST(pmod(xxhash64({', '.join(names)}), {SALTS}) AS INT) AS salt")
+    counted = _counted(salted.join(ranges, [*keys, "salt"]), keys, sliced)
+    group = [*keys, "measure"]
+    return _middle(counted.join(state.select(*group, "low_rank", "high_rank"), group), group)
+
+
+def _middle(counted: DataFrame, group: list[str]) -> DataFrame:
+    """The slice of the middle ranks, with the ranks counted from its start, and the values if found.
+
+    The window runs over at most 4033 slices in the first pass and max(slices, distinct_limit) later.
+    """
     upto = f"sum(inside) OVER (PARTITION BY {', '.join(group)} ORDER BY slice ROWS UNBOUNDED PRECEDING) AS upto"
     middle = (
         counted.selectExpr("*", upto)
         .selectExpr("*", "upto - inside AS below")
-        .join(state.select(*group, "low_rank", "high_rank"), group)
         .selectExpr(
             "*",
             "below < low_rank AND low_rank <= upto AS holds_low",

@@ -23,28 +23,32 @@ def histogram_series(histogram: DataFrame, range_column: str) -> DataFrame:
     )
 
 
-def statement_result(spark: SparkSession, statement: str, args: dict | None = None) -> DataFrame:
-    """Rows of a SQL statement; values go in as ``:name`` parameters, never by text."""
-    return spark.sql(statement, args=args)
+def statement_result(
+    spark: SparkSession, statement: str, args: dict | None = None, **tables: DataFrame
+) -> DataFrame:
+    """Rows of a SQL statement; values go in as ``:name`` parameters, never by text.
 
+    ``tables`` are named in the statement as ``{name}``; no view of them outlives the call.
+    """
+    return spark.sql(statement, args=args, **tables)
 
-def chart_series(result: DataFrame) -> DataFrame:
-    """Long form for line and bar charts: the first column is the key, every other one a series."""
-    key, *others = result.columns
-    if not others:
-        raise ValueError("a chart needs a key column and at least one series")
-    numeric = [
-        F.col(f"`{name}`").cast("double").alias(name)
-        for name in others
-        if isinstance(result.schema[name].dataType, T.NumericType)
-    ]
-    if len(numeric) != len(others):
-        raise ValueError("all columns but the first must be numeric")
-    return result.select(F.col(f"`{key}`"), *numeric).unpivot(
-        [F.col(f"`{key}`")], [F.col(f"`{name}`") for name in others], "series", "value"
-    )
 
+def chart_series(result: DataFrame) -> DataFrame:
+    """Long form for line and bar charts: the first column is the key, every other number a series.
 
-def has_chart(result: DataFrame) -> bool:
-    """A result is charted if it has more than one column and more than one row."""
-    return len(result.columns) > 1 and result.limit(2).count() > 1
+    A single column is a series without a key.  Texts besides the key cannot be drawn; they stay as
+    labels of their rows.  A result without any number to draw is an error.
+    """
+    key, *others = result.columns if len(result.columns) > 1 else [None, *result.columns]
+    numbers = [name for name in others if isinstance(result.schema[name].dataType, T.NumericType)]
+    if not numbers:
+        raise ValueError("a chart needs at least one series of numbers")
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    kept = [quoted(name) for name in ([key] if key else []) + [name for name in others if name not in numbers]]
+    drawn = [quoted(name).cast("double").alias(name) for name in numbers]
+    return result.select(*kept, *drawn).unpivot(kept, [quoted(name) for name in numbers], "series", "value")
+
+
+def has_chart(rows: list) -> bool:
+    """A result is charted if it has more than one row; ``rows`` are those the caller has fetched."""
+    return len(rows) > 1

@@ -23,7 +23,6 @@ from ..functions.fixed_point import (
 from ..functions.period import Period
 from ..operators.base import GROUP_KEYS, size_rank
 from ..operators.medians import exact_medians
-from ..session import settle
 from .reports import PRUNE_RATIO, QUEUED_RATIO, TXBLOCKED_RATIO
 from .summary import credits_per_warehouse, executed_queries
 
@@ -64,9 +63,6 @@ MEASURES = tuple(s.measure for s in STATISTICS)
 ALWAYS_POSITIVE = ("bytes_scanned", "total_elapsed_time")
 ELIGIBLE_SECONDS = "eligible_query_acceleration_time"
 
-#: Up to this many rows in all groups together, Spark's ``median`` has little to keep in memory.
-SMALL_ROWS = 250_000
-
 
 def _measured(history: DataFrame, period: Period) -> DataFrame:
     """Grouping keys and measures; no wide column is read.
@@ -93,11 +89,7 @@ def _group_aggregates() -> list[str]:
     for m in MEASURES:
         aggregates.append(f"max({m}) AS {m}__max")
         if m not in ALWAYS_POSITIVE:
-            aggregates += [
-                f"{exact_sum(m)} AS {m}__sum",
-                f"count({m}) AS {m}__count",
-                f"{count_where(f'{m} = 0')} AS {m}__zeros",
-            ]
+            aggregates += [f"{exact_sum(m)} AS {m}__sum", f"count({m}) AS {m}__count"]
     for m, family in FAMILIES:
         aggregates += [f"{count_where(c)} AS {m}__n{i}" for i, c in zip(family.ordinals, family.conditions(m))]
     for i, inside in zip(buckets.SCAN_SIZE.ordinals, buckets.SCAN_SIZE.conditions("bytes_scanned")):
@@ -119,7 +111,7 @@ def _with_totals(groups: DataFrame) -> DataFrame:
     added = []
     for m, names in parts.items():
         added.append(" + ".join(f"coalesce({name}, 0)" for name in names) + f" AS {m}__sum")
-        added += [f"count_total_sql AS {m}__count", f"0L AS {m}__zeros"]
+        added.append(f"count_total_sql AS {m}__count")
     return groups.selectExpr("*", *added)
 
 
@@ -173,33 +165,23 @@ def _grouped(
     rows: DataFrame,
     aggregates: list[str],
     measures: tuple[str, ...],
-    small_rows: int,
-    name: str,
     complete: Callable[[DataFrame], DataFrame] = lambda groups: groups,
 ) -> DataFrame:
-    """One row per warehouse and size: ``aggregates`` and twice the exact median of ``measures``.
-
-    The row count picks the way to the medians: ``median`` for few rows, else stored group statistics
-    and narrowing passes whose memory does not grow with the groups.
-    """
+    """One row per warehouse and size: ``aggregates`` and twice the exact median of ``measures``."""
     keys = list(GROUP_KEYS)
     groups = complete(rows.groupBy(*keys).agg(*map(F.expr, aggregates)))
-    if rows.count() <= small_rows:
-        medians = rows.groupBy(*keys).agg(*[F.expr(f"CAST(median({m}) * 2 AS DECIMAL(20,0)) AS {m}") for m in measures])
-    else:
-        groups = settle(groups, name)
-        medians = exact_medians(rows, keys, measures, groups)
+    medians = exact_medians(rows, keys, measures)
     return groups.join(medians.selectExpr(*keys, *[f"{m} AS {_twice_median(m)}" for m in measures]), keys, "left")
 
 
-def query_profile(history: DataFrame, period: Period, small_rows: int = SMALL_ROWS) -> DataFrame:
+def query_profile(history: DataFrame, period: Period) -> DataFrame:
     """Statistics, bucket counts and bucketed times per warehouse and size."""
     rows = _measured(history, period)
-    groups = _grouped(rows, _group_aggregates(), MEASURES, small_rows, "profile", _with_totals)
+    groups = _grouped(rows, _group_aggregates(), MEASURES, _with_totals)
     return groups.selectExpr(*GROUP_KEYS, *_profile_columns())
 
 
-def acceleration_profile(eligible: DataFrame, period: Period, small_rows: int = SMALL_ROWS) -> DataFrame:
+def acceleration_profile(eligible: DataFrame, period: Period) -> DataFrame:
     """Statistics of eligible acceleration seconds per warehouse and size."""
     # Rows without a warehouse or size have no counterpart in the profile.
     rows = period.rows_of(eligible).select(*GROUP_KEYS, ELIGIBLE_SECONDS).dropna(subset=list(GROUP_KEYS))
@@ -208,10 +190,9 @@ def acceleration_profile(eligible: DataFrame, period: Period, small_rows: int =
         "count(*) AS total_eligible_qas_sql_count",
         f"{exact_sum(m)} AS {m}__sum",
         f"count({m}) AS {m}__count",
-        f"{count_where(f'{m} = 0')} AS {m}__zeros",
         f"max({m}) AS {m}__max",
     ]
-    groups = _grouped(rows, aggregates, (m,), small_rows, "acceleration")
+    groups = _grouped(rows, aggregates, (m,))
     return groups.selectExpr(
         *GROUP_KEYS,
         "total_eligible_qas_sql_count",
@@ -227,20 +208,18 @@ def warehouse_detail(
     metering: DataFrame,
     eligible: DataFrame,
     period: Period,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Profile of every warehouse and size with its cost and its acceleration statistics.
 
     Warehouses without credits in the window are left out; groups without eligible queries have NULL
     acceleration statistics.  Credits repeat on every size of a warehouse and must not be added up.
 
-    Unlike the other reports this one runs jobs while it is built: it counts its rows, and beyond
-    ``small_rows`` it stores the group counters and narrows the medians down from them (see
+    Unlike the other reports this one runs jobs while it is built: it narrows the medians down (see
     ``exact_medians``).
     """
-    profile = query_profile(history, period, small_rows)
+    profile = query_profile(history, period)
     credits = credits_per_warehouse(metering, period)
-    acceleration = acceleration_profile(eligible, period, small_rows)
+    acceleration = acceleration_profile(eligible, period)
     shares = [
         f"{percent_text(f'`CNTSQL: {text}`', 'count_total_sql', 0)} AS `%CNTSQL: {text}`"
         for text in buckets.SCAN_SIZE.texts

@@ -1,10 +1,10 @@
-"""Session settings and the shared folder for intermediate tables."""
+"""Session settings and stored intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,29 +33,54 @@ def build_session(
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/") if folder else None
 
-    Only a local session may do without the setting; it gets a temporary folder.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="usagelens-"))
-    return context.getCheckpointDir()
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as a table read from there.
-
-    Cuts the lineage in a way that survives the loss of executors.  The planner knows the size of
-    the written files, so it broadcasts the table in later joins only while it is under
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it beyond.
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, on the JVM side."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Make the folder ``path`` and delete it, with all in it, when the application ends."""
+    found, files = hadoop_path(spark, path)
+    files.mkdirs(found)
+    files.deleteOnExit(found)
+
+
+@dataclass(frozen=True)
+class Settled:
+    """A stored intermediate table, and how to drop it."""
+
+    df: DataFrame
+    drop: Callable[[], None]
+
+
+def settle(df: DataFrame, name: str) -> Settled:
+    """Work ``df`` out once and keep the rows.
+
+    With ``spark.checkpoint.dir`` they are written to a table there, which cuts the lineage and
+    survives the loss of executors; otherwise they are persisted, with the lineage to work lost blocks
+    out again.  Either way the planner knows their size, so it broadcasts them in later joins only
+    while they are under ``spark.sql.autoBroadcastJoinThreshold``.  What is not dropped goes with the
+    application.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    if folder is None:
+        kept = df.persist()
+        kept.count()
+        return Settled(kept, lambda: kept.unpersist() and None)
+    path = f"{folder}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    delete_at_end(spark, f"{folder}/{spark.sparkContext.applicationId}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def drop() -> None:
+        found, files = hadoop_path(spark, path)
+        files.delete(found, True)
+
+    return Settled(spark.read.schema(df.schema).parquet(path), drop)

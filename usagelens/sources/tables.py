@@ -32,23 +32,24 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def _by_day(schema: T.StructType, by_day: bool) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(PARTITION_COLUMN, T.DateType())]) if by_day else schema
+
+
 def read_query_history(spark: SparkSession, path: str, by_day: bool = False) -> DataFrame:
     """Query history; ``by_day`` says that it is stored in ``start_date=…`` folders (UTC days)."""
-    schema = schemas.QUERY_HISTORY
-    if by_day:
-        schema = T.StructType([*schema.fields, T.StructField(PARTITION_COLUMN, T.DateType())])
-    return read_table(spark, path, schema)
+    return read_table(spark, path, _by_day(schemas.QUERY_HISTORY, by_day))
 
 
 def read_usage_tables(spark: SparkSession, root: str, by_day: bool = False) -> UsageTables:
-    """All four tables from ``root/<table name>``."""
+    """All four tables from ``root/<table name>``; ``by_day`` holds for all but the warehouses."""
     return UsageTables(
         query_history=read_query_history(spark, f"{root}/query_history", by_day),
         warehouse_metering_history=read_table(
-            spark, f"{root}/warehouse_metering_history", schemas.WAREHOUSE_METERING_HISTORY
+            spark, f"{root}/warehouse_metering_history", _by_day(schemas.WAREHOUSE_METERING_HISTORY, by_day)
         ),
         query_acceleration_eligible=read_table(
-            spark, f"{root}/query_acceleration_eligible", schemas.QUERY_ACCELERATION_ELIGIBLE
+            spark, f"{root}/query_acceleration_eligible", _by_day(schemas.QUERY_ACCELERATION_ELIGIBLE, by_day)
         ),
         warehouses=read_table(spark, f"{root}/warehouses", schemas.WAREHOUSES),
     )
