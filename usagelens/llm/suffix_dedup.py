@@ -8,17 +8,16 @@ that one anchor is bound to) are one; the suffixes of the different ones are sor
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix_groups import suffix_arrays
-from .tables import map_batches, stored, text_of
+from .tables import discard, map_batches, stored, text_of
 
 LENGTH = 100
 ANCHOR = 32
@@ -230,25 +229,17 @@ def _cut(batches):
         )
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps, which it does once nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_runs(texts: DataFrame, together: int = CONTEXTS) -> DataFrame:
     """Runs of starts (``doc``, ``run``) whose ``LENGTH``-byte string starts earlier as well.
 
     ``texts`` holds ``key`` (order of the documents) and ``text`` (binary); up to ``together`` contexts
     of an anchor are sorted together.
     """
-    spark = texts.sparkSession
     hashes = map_batches(texts, _anchor_hashes, "h long")
     again = stored(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
-    _free_shuffles(spark)
     found = map_batches(texts, _anchor_rows, "h long, c long, doc long, run long").join(again, "h")
     found = stored(found.select("h", "c", "doc", "run"), "anchor-places")
-    _free_shuffles(spark)
+    discard(again)
     contexts = stored(
         found.groupBy("h", "c")
         .agg(F.min(F.struct("doc", "run")).alias("first"), F.count("*").alias("n"))
@@ -259,6 +250,7 @@ def repeated_runs(texts: DataFrame, together: int = CONTEXTS) -> DataFrame:
     firsts = contexts.where("n > 1").select("h", "c", F.col("doc").alias("first_doc"), F.col("run").alias("first_run"))
     later = found.join(firsts, ["h", "c"]).where("doc <> first_doc OR run <> first_run").select("doc", "run")
     later = stored(later, "later-places")
+    discard(found)
     mixed = stored(
         contexts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed-anchors"
     )
@@ -271,7 +263,7 @@ def repeated_runs(texts: DataFrame, together: int = CONTEXTS) -> DataFrame:
     dealt = spelt.repartition("h", "part").sortWithinPartitions("h", "part")
     dealt = dealt.select("h", "part", (F.col("kinds") > together).alias("split"), "doc", "run", "context")
     runs = stored(map_batches(dealt, _sorted_runs, "h long, w long, doc long, run long, single boolean"), "runs")
-    _free_shuffles(spark)
+    discard(contexts, mixed)
     # Strings of split groups: all but the first over the parts.
     strings = runs.where("NOT single").select("h", "w", "doc", "run")
     least = strings.groupBy("h", "w").agg(F.min(F.struct("doc", "run")).alias("first"), F.count("*").alias("n"))
