@@ -336,12 +336,11 @@ def identify(docs: DataFrame, training: Column, id_column: str = "doc_id", text_
     learnt = learnt.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
     counts = stored(count_sequences(learnt), "sequences")
     models = collect_models(spark, probabilities(counts))
-    marked = docs.withColumn(
-        "own_lang", F.when(F.coalesce(training, F.lit(False)), F.col(lang_column))
-    ) if "own_lang" not in docs.columns else docs.drop("own_lang").withColumn(
-        "own_lang", F.when(F.coalesce(training, F.lit(False)), F.col(lang_column))
+    own = F.when(F.coalesce(training, F.lit(False)), F.col(lang_column))
+    marked = docs.select(
+        F.col(id_column).alias("id"), F.col(text_column).alias("text"), own.alias("own_lang")
     )
-    scored = stored(score(marked, models, id_column, text_column, ("own_lang",)), "languages")
+    scored = stored(score(marked, models, "id", "text", ("own_lang",)), "languages")
     usual = (
         scored.where("own_lang = lang_pred")
         .groupBy("lang_pred")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, mixing, near_dedup, packing, quality, secrets, suffix_dedup, token_counts, warc
+from .oracle_sql import ORACLE_SQL  # noqa: F401
 from .tables import SPACE, new_path, read, text_of
 
 CAPACITY = 4096
@@ -111,30 +112,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_separator_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {
-    "op8_digest_index": r"""
-WITH rows AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n_chars,
-         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
-  FROM documents
-)
-SELECT doc_id,
-       first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id) AS keep_id,
-       count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id) AS kept,
-       text_sha256
-FROM rows
-""",
-    "op9_warc_segments": r"""
-WITH rows AS (
-  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
-  FROM pages
-), newest AS (
-  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM rows
-)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
-FROM newest
-""",
-}
