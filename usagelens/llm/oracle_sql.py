@@ -5,6 +5,7 @@ Written with SQL's own operators; only the character classes and the allow-list
 
 from __future__ import annotations
 
+from .quality import EXPECTED, RULES, LabelModel
 from .secrets import ALLOWED, CLASSES
 
 MARK, STAND_IN = "chr(1)", "chr(2)"
@@ -77,7 +78,57 @@ FROM documents d
 """
 
 
+def _quality_sql(rounds: int = 15) -> str:
+    """Measures, votes, and the rounds of expectation-maximisation one after the other."""
+    rules = list(RULES)
+    votes = ", ".join(
+        f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v_{rule}" for rule, (bad, good) in RULES.items()
+    )
+    start = ", ".join(f"CAST({EXPECTED} AS DOUBLE) AS a_{rule}" for rule in rules)
+    balance = LabelModel().balance
+    odds = f"ln({balance} / (1 - {balance})) + " + " + ".join(f"v_{r} * ln(a_{r} / (1 - a_{r}))" for r in rules)
+    good = f"1 / (1 + exp(-({odds})))"
+    ctes = []
+    for k in range(rounds):
+        estimates = ", ".join(
+            f"coalesce(greatest(least((sum(CASE v_{r} WHEN 1 THEN n * good WHEN -1 THEN n * (1 - good) END)"
+            f" / sum(n) FILTER (v_{r} <> 0) + {EXPECTED}) / 2, 0.97), 0.55), {EXPECTED}) AS a_{r}"
+            for r in rules
+        )
+        ctes.append(
+            f"fit{k + 1} AS MATERIALIZED (SELECT {estimates} FROM (SELECT p.*, {good} AS good FROM patterns p, fit{k}))"
+        )
+    names = ", ".join(f"v_{r}" for r in rules)
+    return f"""WITH spelt AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i:i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM spelt)
+), often AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n FROM often, (VALUES (0), (1), (2)) AS s(d) GROUP BY doc_id
+), measured AS (
+  SELECT s.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+         length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_capitals,
+         length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclamations
+  FROM spelt s LEFT JOIN covered c ON c.doc_id = s.doc_id
+), voted AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {votes} FROM measured
+), patterns AS MATERIALIZED (
+  SELECT {names}, count(*) AS n FROM voted GROUP BY ALL
+), fit0 AS (SELECT {start}), {", ".join(ctes)}
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND round({good}, 6) >= 0.5 AS kept, round({good}, 6) AS quality
+FROM voted, fit{rounds}
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": _quality_sql(),
     "op4_circulant_minhash": r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -170,7 +170,7 @@ def _votes(prefix: str) -> list[Column]:
     return [vote(*conditions).alias(f"{prefix}vote_{rule}") for rule, conditions in RULES.items()]
 
 
-def fit(votes: DataFrame, prefix: str = "", rounds: int = 25, tolerance: float = 1e-5) -> LabelModel:
+def fit(votes: DataFrame, prefix: str = "", rounds: int = 15) -> LabelModel:
     """Expectation-maximisation over the vote patterns of all documents.
 
     ``votes`` is reduced to one row per pattern, at most three to the power of the number of rules
@@ -198,10 +198,7 @@ def fit(votes: DataFrame, prefix: str = "", rounds: int = 25, tolerance: float =
             rule: min(max((row[f"right_{v}"] / row[f"cast_{v}"] + EXPECTED) / 2, 0.55), 0.97) if row[f"cast_{v}"] else before
             for (rule, before), v in zip(model.accuracy.items(), names)
         }
-        change = max(abs(accuracy[r] - model.accuracy[r]) for r in RULES)
         model = LabelModel(model.balance, accuracy)
-        if change < tolerance:
-            break
     return model
 
 
