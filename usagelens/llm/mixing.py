@@ -171,8 +171,8 @@ def mix(docs: DataFrame, target: Target, tokens, seed: int = 0, id_column: str =
     """``docs``, each row as often as its source's epochs ask for, with its place in the mixture.
 
     ``tokens`` is the column (expression) that counts a row's tokens.  Adds ``<prefix>block`` (which
-    permutation of the source), ``<prefix>position`` (0 to 1; sorting by it deals the blocks of all
-    sources evenly), ``<prefix>weight`` and ``<prefix>epochs``.  Choose a prefix that no column of
+    permutation of the source), ``<prefix>position`` (0 to about 1, as the cut falls by chance; sorting
+    by it deals the blocks of all sources evenly), ``<prefix>weight`` and ``<prefix>epochs``.  Choose a prefix that no column of
     ``docs`` starts with.
 
     Rows of no tokens follow their source.  Repeated rows (same id) share a place and stay together.
