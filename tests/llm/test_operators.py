@@ -289,6 +289,41 @@ def test_kneser_ney_sums_to_one(spark, table):
             assert group.p.sum() + back[context] * left == pytest.approx(1.0, abs=1e-9)
 
 
+def test_language_exact(spark, table):
+    """Entropies are those of the exact models, by look-up and by join, with many different sequences."""
+    r = random.Random(5)
+    wide = lambda: "".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(2_000))
+    rows = [(i, wide(), "zh") for i in range(150)] + [(1000 + i, prose(i, 60), "en") for i in range(20)]
+    rows += [(2000 + i, wide()[:300], None) for i in range(5)] + [(2010, prose(99, 40), None)]
+    docs = table(rows, "doc_id long, text string, lang string")
+    training = F.col("doc_id") < 2000
+    ways = [{x.id: x for x in langid.identify(docs, training, head_bytes=b).collect()} for b in (1 << 26, 4096)]
+    assert ways[0] == ways[1]
+    learnt = docs.where(training).select("lang", "text")
+    p = {(x.lang, x.order, x.key, x.context): x.p for x in langid.probabilities(langid.count_sequences(learnt)).toLocalIterator()}
+
+    def of(lang, key, order):
+        if order == 0:
+            return 1 / 65536
+        seen = p.get((lang, order, key, False))
+        if seen is not None:
+            return seen
+        return p.get((lang, order - 1, key >> 16, True), 1.0) * of(lang, key & ((1 << 16 * (order - 1)) - 1), order - 1)
+
+    for i, text, _ in rows[-6:]:
+        keys = [int(k) for k in langid.sequences([text])[0]]
+        means = {lang: float(np.mean([np.log(of(lang, k, 4)) for k in keys])) for lang in ("en", "zh")}
+        best = max(means, key=means.get)
+        assert ways[0][i].lang_pred == best
+        assert ways[0][i].entropy == pytest.approx(-means[best], abs=1e-5)
+
+
+def test_many_languages(spark, table):
+    rows = [(i, " ".join(chr(0x4E00 + 10 * i + k % 7) * 3 for k in range(30)), f"l.{i}") for i in range(70)]
+    docs = table(rows, "doc_id long, text string, lang string")
+    assert {x.id: x.lang_pred for x in langid.identify(docs, F.lit(True)).collect()} == {i: lang for i, _, lang in rows}
+
+
 # --- Bytes --------------------------------------------------------------------------------------------
 
 

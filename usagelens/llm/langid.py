@@ -1,28 +1,32 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of order four per language, over letters in lower case with single spaces between words.
-Counts, continuation counts and probabilities are DataFrames over all training text.  For scoring, the
-models are put side by side in arrays sorted by the hash of a character sequence, one array per order
-with a probability per language.
+Counts, continuation counts and probabilities are DataFrames over all training text.  For scoring, every
+sequence that occurs in the documents is resolved once to its log probability in each language.  The
+most frequent ones, up to a number of bytes, are looked up within the tasks; documents meet all others
+in a join.  Sequences are 64-bit numbers that hold their four UTF-16 units, so none is mistaken for
+another, and log probabilities are whole numbers, so sums depend neither on order nor on the way.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import map_batches, stored, text_of
 
 ORDER = 4
-#: Bits of a hashed sequence.  They bound every array, so the model that tasks get has at most
-#: ORDER * 2^20 entries of 4 * (1 + languages) bytes, whatever the corpus.
-HASH_BITS = 20
-MAX_LANGUAGES = 64
+#: Bytes of the most frequent sequences that every task gets.  The others are joined: the figure
+#: decides how much is shuffled and not what comes out.
+HEAD_BYTES = 1 << 26
+#: Unit of log probabilities as whole numbers.
+UNIT = float(1 << 20)
 UNDETERMINED = "und"
 SPACE = 32
 #: Characters of a batch that are worked on at a time.
@@ -83,15 +87,6 @@ def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[index], starts
 
 
-def hashed(keys: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the last ``order`` units of each key, in HASH_BITS bits."""
-    if order < ORDER:
-        keys = keys & np.uint64((1 << (16 * order)) - 1)
-    mixed = keys * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
-
-
 def _slices(texts: list[str], limit: int = SLICE):
     """Runs of whole texts of about ``limit`` characters."""
     begin = size = 0
@@ -105,7 +100,7 @@ def _slices(texts: list[str], limit: int = SLICE):
 
 
 def count_sequences(training: DataFrame) -> DataFrame:
-    """``lang``, ``key``, ``n`` over all of ``training`` (``lang``, ``text``).
+    """``lang``, ``key``, ``n`` over all of ``training`` (``lang``, ``text``); NULL counts as a language.
 
     Counts are added up within a batch before they are shuffled.
     """
@@ -184,144 +179,198 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return union
 
 
-@dataclass
-class Models:
-    """Per order: sorted hashes, log probabilities and log backing-off weights, a column per language."""
-
-    langs: list[str]
-    hashes: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backs: list[np.ndarray]
-
-    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probability of each key's last unit, a column per language.
-
-        A sequence that a language has not seen is backed off to the next shorter one.
-        """
-        n, width = len(keys), len(self.langs)
-        result = np.full((n, width), np.nan, np.float32)
-        penalty = np.zeros((n, width), np.float32)
-        rows = np.arange(n)
-        for order in range(ORDER, 0, -1):
-            found = self._look_up(self.hashes[order], self.logs[order], keys[rows], order)
-            block = result[rows]
-            fill = np.isnan(block) & ~np.isnan(found)
-            block[fill] = (found + penalty[rows])[fill]
-            result[rows] = block
-            rows = rows[np.isnan(block).any(axis=1)]
-            if not len(rows):
-                return result
-            context = keys[rows] >> np.uint64(16)
-            back = self._look_up(self.contexts[order - 1], self.backs[order - 1], context, order - 1)
-            penalty[rows] += np.nan_to_num(back, nan=0.0)
-        block = result[rows]
-        lowest = penalty[rows] - np.float32(np.log(float(1 << 16)))
-        result[rows] = np.where(np.isnan(block), lowest, block)
-        return result
-
-    @staticmethod
-    def _look_up(hashes: np.ndarray, values: np.ndarray, keys: np.ndarray, order: int) -> np.ndarray:
-        if not len(hashes):
-            return np.full((len(keys), values.shape[1]), np.nan, np.float32)
-        wanted = hashed(keys, order) if order else np.zeros(len(keys), np.uint32)
-        at = np.searchsorted(hashes, wanted)
-        at[at == len(hashes)] = 0
-        found = values[at]
-        found[hashes[at] != wanted] = np.nan
-        return found
-
-
-def collect_models(spark: SparkSession, table: DataFrame) -> Models:
-    """The models as sorted arrays.  Keys are hashed before they leave the executors: at most
-    2^HASH_BITS rows per order reach the driver, each with one number per language.  Where hashes
-    meet, the larger probability stays.
+def resolved(counts: DataFrame, table: DataFrame, langs: list[str]) -> DataFrame:
+    """Every sequence of ``counts`` with its frequency and its log probability in each of ``langs``.
+
+    ``key``, ``slice`` (binary digits of the frequency) and ``v``, in units of 1 / ``UNIT``.  A sequence
+    that a language has not seen is backed off to the next shorter one.  Shorter sequences are resolved
+    first; as many rows share one as there are different units, however long the text.
     """
-    langs = sorted(r["lang"] for r in table.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    spark = counts.sparkSession
+    numbers = spark.createDataFrame(list(enumerate(langs)), "lang_no int, lang string")
+    wide = (
+        table.join(F.broadcast(numbers), "lang")
+        .groupBy("context", "order", "key")
+        .pivot("lang_no", list(range(len(langs))))
+        .agg(F.max(F.log("p")))
+    )
+    wide = stored(
+        wide.select("context", "order", "key", F.array(*[F.col(f"`{i}`") for i in range(len(langs))]).alias("v")),
+        "models",
+    )
+    keys = {ORDER: counts.groupBy("key").agg(F.sum("n").alias("n"))}
+    for order in range(ORDER - 1, 0, -1):
+        mask = (1 << (16 * order)) - 1
+        keys[order] = stored(keys[order + 1].select(F.col("key").bitwiseAND(mask).alias("key")).distinct(), f"keys-{order}")
+    under = None
+    for order in range(1, ORDER + 1):
+        own = wide.where(~F.col("context") & (F.col("order") == order)).select("key", F.col("v").alias("p"))
+        back = wide.where(F.col("context") & (F.col("order") == order - 1)).select(
+            F.col("key").alias("before"), F.col("v").alias("back")
+        )
+        rows = keys[order].join(own, "key", "left").withColumn("before", F.shiftrightunsigned("key", 16))
+        if under is None:
+            # The empty context is one row.
+            rows = rows.join(F.broadcast(back), "before", "left").withColumn(
+                "under", F.array_repeat(F.lit(-math.log(1 << 16)), len(langs))
+            )
+        else:
+            mask = (1 << (16 * (order - 1))) - 1
+            rows = rows.join(back, "before", "left").withColumn("after", F.col("key").bitwiseAND(mask))
+            rows = rows.join(under.select(F.col("key").alias("after"), F.col("v").alias("under")), "after")
+        value = F.transform(
+            "under", lambda u, i: F.coalesce(F.get("p", i), F.coalesce(F.get("back", i), F.lit(0.0)) + u)
+        )
+        if order < ORDER:
+            under = stored(rows.select("key", value.alias("v")), f"resolved-{order}")
+    whole = F.transform(value, lambda x: F.round(x * UNIT).cast("int"))
+    return stored(rows.select("key", F.length(F.bin("n")).alias("slice"), whole.alias("v")), f"resolved-{ORDER}")
 
-    def hash_keys(batches):
-        for batch in batches:
-            keys = np.array(batch.column(1)).view(np.uint64)
-            orders = np.array(batch.column(2))
-            out = np.zeros(len(keys), np.int32)
-            for order in range(1, ORDER + 1):
-                own = orders == order
-                out[own] = hashed(keys[own], order).view(np.int32)
-            names = ["lang", "h", "order", "p", "context"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *batch.columns[2:]], names)
-
-    ordered = table.select("lang", "key", F.col("order").cast("int").alias("order"), "p", "context")
-    small = map_batches(ordered, hash_keys, "lang string, h int, order int, p double, context boolean")
-    wide = small.groupBy("context", "order", "h").pivot("lang", langs).agg(F.max("p")) if langs else None
-    frame = wide.toPandas() if wide is not None else None
-
-    def arrays(context: bool, order: int) -> tuple[np.ndarray, np.ndarray]:
-        if frame is None:
-            return np.zeros(0, np.uint32), np.zeros((0, len(langs)), np.float32)
-        own = frame[(frame["context"] == context) & (frame["order"] == order)].sort_values("h")
-        values = own[langs].to_numpy(np.float64, na_value=np.nan)
-        return own["h"].to_numpy(np.uint32), np.log(values).astype(np.float32)
-
-    logs = [arrays(False, o) for o in range(ORDER + 1)]
-    backs = [arrays(True, o) for o in range(ORDER)]
-    return Models(langs, [h for h, _ in logs], [v for _, v in logs], [h for h, _ in backs], [v for _, v in backs])
-
-
-def score(docs: DataFrame, models: Models, id_column: str = "doc_id", text_column: str = "text",
-          carry: tuple[str, ...] = ()) -> DataFrame:
+
+@dataclass
+class Head:
+    """The most frequent sequences, sorted, with their log probabilities, a column per language."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the keys, zero where they are not held, and which these are."""
+        if not len(self.keys):
+            return np.zeros((len(keys), self.values.shape[1]), np.int32), np.ones(len(keys), bool)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        missing = self.keys[at] != keys
+        found = self.values[at]
+        found[missing] = 0
+        return found, missing
+
+
+def collect_head(table: DataFrame, width: int, head_bytes: int) -> tuple[Head, DataFrame | None]:
+    """The slices of highest frequency that fit ``head_bytes``, and the rest (None if there is none)."""
+    room = head_bytes // (8 + 4 * width)
+    # At most 64 rows.
+    slices = sorted(((r["slice"], r["count"]) for r in table.groupBy("slice").count().collect()), reverse=True)
+    taken = 0
+    for least, n in slices:
+        room -= n
+        if room < 0:
+            break
+        taken += 1
+    held = [s for s, _ in slices[:taken]]
+    frame = table.where(F.col("slice").isin(held)).select("key", "v").toArrow()
+    keys = frame["key"].to_numpy().astype(np.int64).view(np.uint64)
+    values = frame["v"].combine_chunks().flatten().to_numpy().astype(np.int32).reshape(len(keys), width)
+    order = np.argsort(keys)
+    rest = table.where(~F.col("slice").isin(held)) if taken < len(slices) else None
+    return Head(keys[order], values[order]), rest
+
+
+def _counted(keys: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys of each of ``n`` owners with their counts, and where each owner's begin."""
+    order = np.lexsort((keys, owners))
+    keys, owners = keys[order], owners[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+    at = np.flatnonzero(fresh)
+    counts = np.diff(np.append(at, len(keys)))
+    return keys[at], counts, np.searchsorted(owners[at], np.arange(n + 1))
+
+
+def score(docs: DataFrame, head: Head, rest: DataFrame | None, langs: list[str], id_column: str = "doc_id",
+          text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: ``id``, ``lang_pred``, ``entropy`` (nats per unit) and ``score``, with the columns ``carry``.
 
     The language with the lowest cross-entropy per unit is chosen, the first by name on a tie.
     ``score`` is its share when every language counts with the exponential of its mean log probability.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)  # bounded, see HASH_BITS
+    shared = spark.sparkContext.broadcast(head)  # bounded, see HEAD_BYTES
+    width = len(langs)
 
-    def predict(batches):
-        model = shared.value
+    def add_up(batches):
+        held = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = len(texts)
-            best, entropy, share = [None] * n, np.full(n, np.nan), np.zeros(n)
+            texts = batch.column(2).to_pylist()
+            sizes, sums, left = [], [], []
             for begin, end in _slices(texts):
                 keys, starts = sequences(texts[begin:end])
-                if not len(keys) or not model.langs:
-                    continue
-                sums = np.zeros((end - begin, len(model.langs)))
+                total = np.zeros((end - begin, width), np.int64)
+                absent, owners = [], []
                 for low in range(0, len(keys), SLICE):
                     part = keys[low : low + SLICE]
+                    values, missing = held.look_up(part)
                     cut = np.clip(starts - low, 0, len(part))
                     own = np.flatnonzero(cut[1:] > cut[:-1])
-                    sums[own] += np.add.reduceat(model.log_probabilities(part), cut[own], axis=0, dtype=np.float64)
-                sizes = np.diff(starts)
+                    total[own] += np.add.reduceat(values, cut[own], axis=0, dtype=np.int64)
+                    at = np.flatnonzero(missing)
+                    absent.append(part[at])
+                    owners.append(np.searchsorted(starts, at + low, "right") - 1)
                 lettered = np.array([any(map(str.isalpha, t)) for t in texts[begin:end]])
-                for i in np.flatnonzero(lettered):
-                    mean = sums[i] / sizes[i]
-                    top = int(np.argmax(mean))
-                    best[begin + i], entropy[begin + i] = model.langs[top], -mean[top]
-                    share[begin + i] = 1.0 / np.exp(mean - mean[top]).sum()
-            empty = np.isnan(entropy)
+                found = np.concatenate(absent), np.concatenate(owners)
+                wanted = lettered[found[1]]
+                sizes.append(np.where(lettered, np.diff(starts), 0))
+                sums.append(total)
+                left.append(_counted(found[0][wanted], found[1][wanted], end - begin))
+            base, offsets = 0, [np.zeros(1, np.int64)]
+            for keys, _, ends in left:
+                offsets.append(ends[1:] + base)
+                base += len(keys)
+            offsets = pa.array(np.concatenate(offsets).astype(np.int32))
+            joined = lambda parts: np.concatenate([np.zeros(0, np.int64), *[p.astype(np.int64) for p in parts]])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([b or UNDETERMINED for b in best], pa.string()),
-                    pa.array(np.where(empty, 0.0, entropy), mask=empty),
-                    pa.array(share, pa.float64()),
-                    *batch.columns[2:],
+                    batch.column(1),
+                    pa.array(joined(sizes)),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width), pa.array(joined([t.ravel() for t in sums]))
+                    ),
+                    pa.ListArray.from_arrays(offsets, pa.array(joined([k.view(np.int64) for k, _, _ in left]))),
+                    pa.ListArray.from_arrays(offsets, pa.array(joined([n for _, n, _ in left]))),
+                    *batch.columns[3:],
                 ],
-                ["id", "lang_pred", "entropy", "score", *carry],
+                ["row", "id", "size", "sums", "keys", "counts", *carry],
             )
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"), *carry)
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"),
+        text_of(text_column).alias("text"), *carry,
+    )
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     extra = "".join(f", {c} {types[c]}" for c in carry)
-    return map_batches(rows, predict, f"id long, lang_pred string, entropy double, score double{extra}")
+    added = map_batches(
+        rows, add_up, f"row long, id long, size long, sums array<long>, keys array<long>, counts array<long>{extra}"
+    )
+    if rest is not None:
+        added = stored(added, "sums")
+        # A sequence of the rest is rarer than all that the head holds, so no key is hot.
+        pairs = added.select("row", F.explode(F.arrays_zip("keys", "counts")).alias("x"))
+        pairs = pairs.select("row", F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
+        others = (
+            pairs.join(rest.select("key", "v"), "key")
+            .groupBy("row")
+            .agg(F.array(*[F.sum(F.col("n") * F.get("v", F.lit(i))) for i in range(width)]).alias("others"))
+        )
+        both = F.transform("sums", lambda x, i: x + F.coalesce(F.get("others", i), F.lit(0)))
+        added = added.join(others, "row", "left").withColumn("sums", both)
+    best = F.array_max("sums")
+    share = F.aggregate(
+        F.transform("sums", lambda x: F.exp((x - best) / F.col("size") / UNIT)), F.lit(0.0), lambda a, x: a + x
+    )
+    lettered = F.col("size") > 0
+    names = F.array(*[F.lit(x) for x in langs])
+    return added.select(
+        "id",
+        F.when(lettered, F.get(names, (F.array_position("sums", best) - 1).cast("int"))).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(lettered, -best / F.col("size") / UNIT).alias("entropy"),
+        F.when(lettered, 1 / share).otherwise(0.0).alias("score"),
+        *carry,
+    )
 
 
 def identify(docs: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text",
-             lang_column: str = "lang", deviations: float = 4.0) -> DataFrame:
+             lang_column: str = "lang", deviations: float = 4.0, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """Learn from the rows for which ``training`` holds, and predict all rows.
 
     Returns ``id``, ``lang_pred``, ``score``, ``entropy`` and ``rejected``.  A prediction is rejected if
@@ -331,22 +380,30 @@ def identify(docs: DataFrame, training: Column, id_column: str = "doc_id", text_
     nothing to learn from.  Rows of NULL language are never learnt from.  Repeated rows count and are
     scored one by one; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    learnt = docs.where(training & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    learnt = learnt.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    counts = stored(count_sequences(learnt), "sequences")
-    models = collect_models(spark, probabilities(counts))
     own = F.when(F.coalesce(training, F.lit(False)), F.col(lang_column))
     marked = docs.select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), own.alias("own_lang")
     )
-    scored = stored(score(marked, models, "id", "text", ("own_lang",)), "languages")
+    texts = marked.where(F.col("text").isNotNull()).select(F.col("own_lang").alias("lang"), "text")
+    counts = stored(count_sequences(texts), "sequences")
+    learnt = counts.where("lang IS NOT NULL")
+    langs = sorted(r["lang"] for r in learnt.select("lang").distinct().collect())
+    if langs:
+        known = resolved(counts, probabilities(learnt), langs)
+        head, rest = collect_head(known, len(langs), head_bytes)
+        scored = score(marked, head, rest, langs, "id", "text", ("own_lang",))
+    else:
+        scored = marked.select(
+            F.col("id").cast("long").alias("id"), F.lit(UNDETERMINED).alias("lang_pred"),
+            F.lit(None).cast("double").alias("entropy"), F.lit(0.0).alias("score"), "own_lang",
+        )
+    scored = stored(scored, "languages")
     usual = (
         scored.where("own_lang = lang_pred")
         .groupBy("lang_pred")
         .agg((F.avg("entropy") + deviations * F.stddev_samp("entropy")).alias("most"))
     )
-    # One row per learnt language, at most MAX_LANGUAGES.
+    # One row per learnt language.
     return scored.join(F.broadcast(usual), "lang_pred", "left").select(
         "id", "lang_pred", "score", "entropy",
         F.coalesce(F.col("entropy") > F.col("most"), F.lit(False)).alias("rejected"),
