@@ -170,6 +170,25 @@ def test_quality_awkward(spark, table):
     assert quality.judged(table([])).count() == 0
 
 
+def test_quality_of_any_script(spark, table):
+    """Clean texts of other scripts, and with many numbers, stay; junk goes."""
+    r = random.Random(12)
+    hindi = "भारत में शिक्षा की स्थिति पिछले कुछ वर्षों में बहुत बदली है और गाँवों तक विद्यालय पहुँचे हैं किसान नदी के किनारे खेती करते थे मौसम".split()
+    thai = "วันนี้ อากาศ ดี มาก เรา ไป ตลาด ซื้อ ผลไม้ และ กลับ บ้าน ตอน เย็น พี่น้อง กำลัง ทำ อาหาร ที่ ครัว".split()
+    text = lambda words, n=120: " ".join(r.choice(words) for _ in range(n))
+    stops = ["Hauptbahnhof", "Marktplatz", "Rathaus", "Universität"]
+    timetable = lambda: "\n".join(" ".join([r.choice(stops), *[f"{r.randrange(24):02d}:{r.randrange(60):02d}" for _ in range(6)]]) for _ in range(20))
+    good = [text(hindi) for _ in range(10)] + [text(thai) for _ in range(10)] + [timetable() for _ in range(10)]
+    good += [prose(100 + i, 120) for i in range(40)]
+    bad = [" ".join(w + r.choice(["###", "$$$", "%%%"]) for w in prose(200 + i, 120).split()) for i in range(20)]
+    bad += [" ".join(r.choice(".,;:-?") * r.randrange(1, 9) for _ in range(120)) for _ in range(5)]
+    rows = list(enumerate(good)) + [(1000 + i, t) for i, t in enumerate(bad)]
+    kept = {x.doc_id: x.kept for x in quality.judged(table(rows)).where("NOT base_failed").collect()}
+    assert {i for i, _ in enumerate(good) if not kept[i]} == set()
+    assert not any(k for i, k in kept.items() if i >= 1000)
+    assert sum(i >= 1000 for i in kept) >= 20
+
+
 def test_repeat_words_random(spark, table):
     r = random.Random(9)
     rows = [(i, " ".join(r.choice("abcd"[: r.randint(1, 4)]) for _ in range(r.randint(0, 30)))) for i in range(300)]

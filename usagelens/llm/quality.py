@@ -24,15 +24,19 @@ WINDOW = 3
 
 #: Rule -> (votes bad, votes good) as SQL over the measured columns; neither is an abstention.  Rules
 #: that look for one fault abstain where they do not find it: that says little about all the others.
+#: Limits hold for any script: combining marks count as letters, word length is in code points, and few
+#: letters are a fault where symbols stand in for them, or where there are next to none.
 NEVER = "false"
 RULES = {
     "length": ("n_words < 50", NEVER),
     "repetition": ("n_repeat_words > 0.3 * n_words", NEVER),
     "symbols": ("n_symbols > 0.05 * word_chars", NEVER),
     "long_words": ("word_chars > 12 * n_words", NEVER),
-    "short_words": ("n_letters < 3.6 * n_words", NEVER),
+    "short_words": ("word_chars < 1.5 * n_words", NEVER),
     "lines": ("n_dup_lines > 0.5 * n_lines", NEVER),
-    "letters": ("n_letters < 0.8 * word_chars", NEVER),
+    "letters": (
+        "n_letters < 0.1 * word_chars OR n_letters < 0.6 * word_chars AND n_symbols > 0.01 * word_chars", NEVER
+    ),
     "capitals": ("n_capitals > 0.5 * n_letters", NEVER),
     "exclamations": ("n_exclamations > 0.5 * n_words", NEVER),
     "prose": (
@@ -137,7 +141,7 @@ def measured(docs: DataFrame, text_column: str = "text", prefix: str = "") -> Da
         "n_dup_lines": _dup_lines(n),
         "n_repeat_words": _repeat_words(w),
         "n_lines": F.size(n).cast("long"),
-        "n_letters": count_of(r"\P{L}+"),
+        "n_letters": count_of(r"[^\p{L}\p{M}]+"),
         "n_capitals": count_of(r"\P{Lu}+"),
         "n_exclamations": count_of("[^!]+"),
     }
