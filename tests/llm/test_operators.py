@@ -409,6 +409,23 @@ def test_secret_spans(spark, table):
     assert secrets.scan(table([])).count() == 0
 
 
+def test_secrets_glued_to_words(spark, table):
+    """A placeholder hides itself, not what follows it; random letters are no word."""
+    secret = "q8Zr2LwX0vT7mNc4KpYd1sHb9"
+    words = ["example", "sample", "placeholder", "dummy", "changeme", "xxxx", "abcdef", "123456", "EXAMPLE"]
+    rows = [(i, f"{w}_dsn={secret}") for i, w in enumerate(words)] + [(20 + i, f"/{w}/{secret}") for i, w in enumerate(words)]
+    rows += [(40 + i, f"{w}{secret}") for i, w in enumerate(words)]
+    rows += [(60, "key QzWxEcRvTbYnUmIkOlPaSd"), (61, "counterrevolutionaries"), (62, f"{secret[:-2]}_example"), (63, "getUserNameFromAccountDetails")]
+    found = {r.id: r.spans for r in secrets.digests(secrets.scan(table(rows))).collect()}
+    for i, w in enumerate(words):
+        assert found[i] == f"entropy_base64:{len(w) + 5}:{len(w) + 30}"
+        assert found[20 + i] == f"entropy_base64:{len(w) + 2}:{len(w) + 27}"
+        # Windows may reach into the word.
+        assert found[40 + i].startswith("entropy_base64:") and found[40 + i].endswith(f":{len(w) + 25}")
+    assert found[60] == "entropy_base64:4:26"
+    assert found[61] == found[62] == found[63] == ""
+
+
 def test_window_entropy(spark, table):
     r = random.Random(8)
     of = secrets.CLASSES["entropy_base64"]

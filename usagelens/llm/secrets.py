@@ -45,7 +45,8 @@ CLASSES = {
         "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", "[A-Za-z0-9+/=_-]", 20, 3.75
     ),
 }
-#: Spans found by entropy are dropped if their whole text matches one of these.
+#: The allow-list of the SQL twin, which drops whole candidates by it.  Here WORD, KNOWN and PLACEHOLDER
+#: decide, which keep secrets that are glued to such a text.
 ALLOWED = (
     "[A-Za-z]+",  # a word
     "[0-9]+",  # a number
@@ -54,6 +55,15 @@ ALLOWED = (
     "(?i).*(example|sample|placeholder|dummy|changeme|xxxx|abcdef|123456).*",
     "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
 )
+#: Spans found by entropy are dropped if their whole text is known to be none, or a word, unless a window
+#: holds LETTER_BITS: random letters do, words do not.
+WORD = "^[A-Za-z]+$"
+KNOWN = "^(" + "|".join(a for a in ALLOWED if a != "[A-Za-z]+" and "example" not in a) + ")$"
+LETTER_BITS = 4.0
+#: Where a whole part of a candidate is such a word, the pieces between '=' and '/' that hold it are
+#: dropped and the others are looked at each by itself.
+_EDGE = "[-_+=/]"
+PLACEHOLDER = f"(?i)(^|{_EDGE})(example|sample|placeholder|dummy|changeme|x{{4,}}|abcdef|123456)({_EDGE}|$)"
 SPAN = "array<struct<start:int,end:int,body:string>>"
 
 
@@ -135,8 +145,21 @@ def window_entropy(body: Column, of: CharacterClass) -> Column:
 def _entropy_spans(text: Column, kind: str) -> Column:
     """Spans of one class: per candidate string, from the first to the last window with enough entropy."""
     of = CLASSES[kind]
+    strict = CharacterClass(of.alphabet, of.pattern, of.window, max(of.bits, LETTER_BITS))
+
+    def pieces(s: Column) -> Column:
+        cut = F.transform(
+            _matches(s["body"], f"[^=/]{{{of.window},}}"),
+            lambda x: F.struct(
+                (s["start"] + x["start"]).alias("start"), (s["start"] + x["end"]).alias("end"), x["body"].alias("body")
+            ),
+        )
+        return F.when(
+            s["body"].rlike(PLACEHOLDER), F.filter(cut, lambda x: ~x["body"].rlike(PLACEHOLDER))
+        ).otherwise(F.array(s))
+
     candidates = F.filter(
-        _matches(text, f"{of.pattern}{{{of.window},}}"), lambda s: ~s["body"].rlike(f"^({'|'.join(ALLOWED)})$")
+        F.flatten(F.transform(_matches(text, f"{of.pattern}{{{of.window},}}"), pieces)), lambda s: ~s["body"].rlike(KNOWN)
     )
 
     def narrowed(s: Column) -> Column:
@@ -151,7 +174,9 @@ def _entropy_spans(text: Column, kind: str) -> Column:
 
     return F.filter(
         F.transform(candidates, narrowed),
-        lambda s: s["start"].isNotNull() & ~s["body"].rlike(f"^({'|'.join(ALLOWED)})$"),
+        lambda s: s["start"].isNotNull()
+        & ~s["body"].rlike(KNOWN)
+        & (~s["body"].rlike(WORD) | _bound(window_entropy(s["body"], strict), lambda e: e["first"].isNotNull())),
     )
 
 
