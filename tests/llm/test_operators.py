@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from usagelens.llm import exact_dedup, langid, mixing, near_dedup, packing, quality, secrets, suffix_dedup
-from usagelens.llm import token_counts, warc
+from usagelens.llm import queries, token_counts, warc
 from usagelens.llm.components import components
 from usagelens.llm.queries import vocabulary
 from usagelens.llm.suffix_groups import suffix_arrays
@@ -493,6 +493,17 @@ def test_warc(spark, table):
     assert warc.round_trip(docs.limit(0), new_path(spark, "warc")).count() == 0
 
 
+def test_registered_warc_is_segmented(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "warc")
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: path)
+    rows = queries.op9_warc_segments(spark, "/root/testdata/sf0.001").collect()
+    files = [p for p in (tmp_path / "warc").rglob("part-*") if p.is_file()]
+    data = b"".join((gzip.open(p) if p.suffix == ".gz" else p.open("rb")).read() for p in files)
+    long = sum(r.payload_bytes > queries.SEGMENT_BYTES and r.record_type == "response" for r in rows)
+    assert long > 0
+    assert data.count(b"WARC-Type: continuation") >= long
+
+
 def test_warc_damage():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     assert [b for _, b in warc.parse_records(io.BytesIO(record * 2))] == [b"hello"] * 2

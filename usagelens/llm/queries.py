@@ -15,6 +15,8 @@ CAPACITY = 4096
 END_OF_TEXT = 1
 #: The vocabulary's own end of a document, which no text can spell.
 SEPARATOR = 49407
+#: Bytes of a record of a page; longer pages are several records, as ordinary ones are.
+SEGMENT_BYTES = 1 << 12
 #: How often a document of a small source may repeat for each time one of a large source appears.
 REPETITION = 2.0
 
@@ -88,7 +90,7 @@ def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(read(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return warc.round_trip(read(spark, sf_dir, "pages"), new_path(spark, "warc"), SEGMENT_BYTES)
 
 
 def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
