@@ -99,7 +99,6 @@ def test_packing_awkward(spark, table):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     expected = [(i, *p) for i, t in AWKWARD for p in brute.pieces(t, tokenizer, 512, 1)]
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows], key=key) == sorted(expected, key=key)
@@ -113,13 +112,31 @@ def test_packing_awkward(spark, table):
 def test_word_tokenizer_is_the_tokenizer():
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary())
-    whole.encode_special_tokens = True
-    own = WordTokenizer(vocabulary())
     r = random.Random(3)
     letters = "abcXYZ éÉßœ.,!?'\t\n\r\x1c\x85　́Kµª012-_你🙂"
-    for text in [t for _, t in AWKWARD if t] + ["".join(r.choice(letters) for _ in range(60)) for _ in range(500)]:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    texts = [t for _, t in AWKWARD if t] + ["".join(r.choice(letters) for _ in range(60)) for _ in range(500)]
+    for plain in (False, True):
+        whole = Tokenizer.from_file(vocabulary())
+        whole.encode_special_tokens = plain
+        own = WordTokenizer(vocabulary(), plain)
+        for text in texts + ["a <|endoftext|> b", "x<|startoftext|>y"]:
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(WordTokenizer(vocabulary()).encode("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+
+
+def test_packing_of_many_empty_texts(spark):
+    """A length that fills the gaps of most sequences does not multiply rows."""
+    pieces = spark.range(140_000).selectExpr(
+        "id AS doc_id", "0 AS piece", "0L AS start",
+        "CASE WHEN id < 100000 THEN 1L ELSE 1 + pmod(xxhash64(id), 4096) END AS length", "id AS ids_crc32",
+    )
+    path = new_path(spark, "many-pieces")
+    pieces.write.parquet(path)
+    placed = packing.pack_pieces(spark.read.parquet(path), 4096)
+    rows = placed.select("length", "sequence_id", "offset").toPandas().sort_values(["sequence_id", "offset"])
+    assert len(rows) == 140_000
+    ends = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
+    assert (ends == rows["offset"]).all() and rows.groupby("sequence_id")["length"].sum().max() <= 4096
 
 
 # --- Mixing -------------------------------------------------------------------------------------------
@@ -544,7 +561,7 @@ def test_stitching(spark):
 def test_token_files(spark, table):
     path = new_path(spark, "flat")
     token_counts.write_token_files(clash(table(AWKWARD), "ids", "value"), path, vocabulary(), 49407, per_file=4)
-    own = WordTokenizer(vocabulary())
+    own = WordTokenizer(vocabulary(), plain=True)
     found = token_counts.count_tokens(spark, path, 49407).collect()
     assert sorted(r.n_tokens for r in found) == sorted(len(own.encode(t or "")) // 4 for _, t in AWKWARD)
     empty = new_path(spark, "flat")

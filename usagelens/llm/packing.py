@@ -13,6 +13,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,7 +187,7 @@ def slots(patterns: list[Pattern]) -> Iterator[tuple[int, int, int, int, int, in
 
     Ranks of a length run through the rows in order.  A sequence holds fewer than sqrt(2 * capacity)
     different lengths and there are at most about two patterns per length, so the table is bounded by
-    the capacity alone.
+    the capacity alone.  One short length may still have a place in most of the patterns.
     """
     ranks: dict[int, int] = {}
     sequence = 0
@@ -242,10 +243,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     bucketed = pieces.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, piece), {parts})"))
     counts = stored(bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")), "length-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.createDataFrame(
-        list(slots(pack_histogram(histogram, capacity))),
-        "length long, first long, last long, sequence long, each long, at long",
-    )
+    places = list(slots(pack_histogram(histogram, capacity)))
     before = counts.withColumn("before", F.expr("sum(n) OVER (PARTITION BY length ORDER BY bucket) - n")).drop("n")
     ranked = (
         bucketed.withColumn(
@@ -255,13 +253,35 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
         .join(before, ["length", "bucket"])
         .withColumn("rank", F.col("before") + F.col("within"))
     )
-    # Bounded by the capacity, see ``slots``.
-    placed = ranked.join(F.broadcast(places), "length").where("rank BETWEEN first AND last")
-    return placed.selectExpr(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        "sequence + (rank - first) div each AS sequence_id",
-        "at + pmod(rank - first, each) * length AS offset",
-    )
+    ordered = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    return map_batches(ordered, _placed(places), f"{PIECES}, sequence_id long, offset long")
+
+
+def _placed(places: list[tuple[int, int, int, int, int, int]]):
+    """Puts pieces at their places: of the runs of a length, a binary search finds that of a rank."""
+    length, first, _, sequence, each, at = np.array(sorted(places), np.int64).reshape(-1, 6).T.copy()
+    # Runs of a length follow one another, so one sorted array of (length, rank) serves all lengths.
+    starts = np.searchsorted(length, np.arange(length.max(initial=0) + 2))
+
+    def place(batches):
+        for batch in batches:
+            wanted, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            low, high = starts[wanted], starts[wanted + 1]
+            while (open_ := high - low > 1).any():
+                middle = (low + high) // 2
+                reached = open_ & (first[np.minimum(middle, len(first) - 1)] <= rank)
+                low, high = np.where(reached, middle, low), np.where(open_ & ~reached, middle, high)
+            inside = rank - first[low]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:5],
+                    pa.array(sequence[low] + inside // each[low]),
+                    pa.array(at[low] + inside % each[low] * wanted),
+                ],
+                [*batch.schema.names[:5], "sequence_id", "offset"],
+            )
+
+    return place
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1,

@@ -34,7 +34,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         raise ValueError("the end of a document has to be an id of two bytes")
 
     def encoded(batches):
-        encode = tokenizer(vocabulary).encode
+        encode = tokenizer(vocabulary, plain=True).encode
         head = end_id.to_bytes(2, "little")
         for batch in batches:
             ids = pa.array([encode(text.as_py()) + head for text in batch.column(0)], pa.large_binary())

@@ -30,14 +30,17 @@ class WordTokenizer:
     its words, one after the other.  Words repeat, so each is encoded once.  A word of Latin letters,
     perhaps with a full stop or comma after it, is what the tokenizer's own preparation would leave
     but for its case, so its model is asked directly; any other word takes the whole way.
+
+    Where a text spells a special token, its id comes out, as the library has it.  With ``plain`` such
+    a text is ordinary text, so that no text can give a special id.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = plain
         self._model = self._tokenizer.model
         self._letters = str.maketrans(_byte_letters())
         self._cache: dict[str, bytes] = {}
@@ -76,11 +79,11 @@ class WordTokenizer:
         return b"".join([cache[w] for w in words])
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, plain: bool = False) -> WordTokenizer:
     """The tokenizer of this Python worker."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+    if (path, plain) not in _loaded:
+        _loaded[path, plain] = WordTokenizer(path, plain)
+    return _loaded[path, plain]
