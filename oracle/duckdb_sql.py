@@ -409,17 +409,17 @@ DOCUMENT_EXTRACT = (
     "'lang': regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)}) AS VARCHAR) AS json_content FROM pages"
 )
 
-#: Twin of the statement of the ``statement_*`` queries, for all but the first warehouse.
+#: Twin of the statement of the ``statement_*`` queries, over the whole history.
 STATEMENT = (
     "SELECT warehouse_name, count(*) AS queries, sum(CAST(execution_status = 'FAIL' AS BIGINT))::BIGINT AS failed, "
-    "max(total_elapsed_time) AS longest_ms FROM query_history "
-    "WHERE total_elapsed_time BETWEEN 1000 AND 600000 AND warehouse_name <> 'WH_0' GROUP BY ALL"
+    "count(*) FILTER (total_elapsed_time >= 1000 AND total_elapsed_time <= 600000) AS medium, "
+    "max(total_elapsed_time) AS longest_ms FROM query_history GROUP BY ALL"
 )
 
 
 def _statement_series() -> str:
     rows = " UNION ALL ".join(
         f"SELECT warehouse_name, '{name}' AS series, CAST({name} AS DOUBLE) AS value FROM result"
-        for name in ("queries", "failed", "longest_ms")
+        for name in ("queries", "failed", "medium", "longest_ms")
     )
     return f"{_with(f'result AS ({STATEMENT})')} {rows}"
