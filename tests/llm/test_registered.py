@@ -159,3 +159,18 @@ def test_pipeline(spark, tmp_path):
         if n < len(STAGES) - 1:
             assert docs.columns == columns
         before = after
+
+
+def test_token_store(spark, documents):
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    expected, start = {}, 0
+    for i, text, *_ in sorted(documents):
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        expected[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert rows_of(spark, "op13_range_coder", "doc_id", "start", "n_tokens", "ids_crc32") == expected

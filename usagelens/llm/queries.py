@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, near_dedup, packing, quality, secrets, suffix_dedup, token_counts, warc
+from . import (
+    exact_dedup, langid, mixing, near_dedup, packing, quality, secrets, suffix_dedup, token_counts, token_store, warc,
+)
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 from .tables import SPACE, new_path, read, text_of
 
@@ -21,10 +23,10 @@ SEGMENT_BYTES = 1 << 12
 REPETITION = 2.0
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def words_of(column: str):
@@ -99,6 +101,11 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, path, SEPARATOR)
 
 
+def op13_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_store.round_trip(docs, new_path(spark, "token-store"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -112,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_digest_index,
         op9_warc_segments,
         op10_separator_scan,
+        op13_range_coder,
     )
 }

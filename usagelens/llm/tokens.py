@@ -87,3 +87,87 @@ def tokenizer(path: str, plain: bool = False) -> WordTokenizer:
     if (path, plain) not in _loaded:
         _loaded[path, plain] = WordTokenizer(path, plain)
     return _loaded[path, plain]
+
+
+#: A word of Latin letters, perhaps on a new line, and punctuation after it.
+_LATIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+
+
+class ByteTokenizer:
+    """Ids of a byte-level vocabulary as 2-byte little-endian numbers.
+
+    Such a vocabulary never joins across a space between two characters that are none, and neither across
+    a new line there.  So a text is cut before each of them, and words are encoded once, with their space
+    or new line.  A word of Latin letters is spelt in the vocabulary's letters and given to the model
+    itself; any other goes the library's whole way.  Where white space meets white space, or ends a text,
+    the pieces are joined again.  Special tokens in a text give their ids, as the library has it.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+        if self._tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids do not fit in two bytes")
+        self._tokenize = self._tokenizer.model.tokenize
+        self._letters = str.maketrans(_byte_letters())
+        # Words follow a space unless they start with a new line; first words follow nothing.
+        self._cache: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {"": b""}
+        self._new_line = self._encode("\n")
+
+    def _encode(self, text: str) -> bytes:
+        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _ids(self, word: str) -> bytes:
+        found = _LATIN(word)
+        if found is None:
+            return self._encode(word if word[0] == "\n" else f" {word}")
+        line, core, marks = found.groups()
+        packed = self._cache.get(line + core)
+        if packed is None:
+            spelt = core if core.isascii() else core.translate(self._letters)
+            ids = [t.id for t in self._tokenize(spelt if line else f"Ġ{spelt}")]
+            packed = struct.pack(f"<{len(ids)}H", *ids)
+            packed = self._cache[line + core] = self._new_line + packed if line else packed
+        if marks not in self._marks:
+            self._marks[marks] = self._encode(marks)
+        return packed + self._marks[marks]
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text."""
+        cache = self._cache
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        first, *words = text.replace("\n", " \n").split(" ")
+        if words and (not first or first[-1].isspace()):
+            return self._apart(text)
+        head = self._encode(first)
+        try:
+            return head + b"".join([cache[w] for w in words])
+        except KeyError:
+            pass
+        for word in words:
+            if word not in cache:
+                if not word.lstrip("\n") or word[word[0] == "\n"].isspace() or word[-1].isspace():
+                    return self._apart(text)
+                cache[word] = self._ids(word)
+        return head + b"".join([cache[w] for w in words])
+
+    def _apart(self, text: str) -> bytes:
+        """Ids of a text in which white space meets white space."""
+        first, *rest = _BETWEEN_WORDS(text)
+        return self._encode(first) + b"".join([self._encode(f" {part}") for part in rest])
+
+
+_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)").split
+_byte_tokenizers: dict[str, ByteTokenizer] = {}
+
+
+def byte_tokenizer(path: str) -> ByteTokenizer:
+    """The byte-level tokenizer of this Python worker."""
+    if path not in _byte_tokenizers:
+        _byte_tokenizers[path] = ByteTokenizer(path)
+    return _byte_tokenizers[path]
