@@ -102,3 +102,17 @@ def pieces(text, tokenizer, capacity, end_id):
     for n, start in enumerate(range(0, len(ids), capacity)):
         part = ids[start : start + capacity]
         yield n, start, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))
+
+
+def whitened(vectors, components):
+    """Number of distinct vectors, deviations, whitened rows and explained shares, by the whole covariance."""
+    import numpy as np
+
+    x = np.floor(256 * np.array(vectors, np.float64)).astype(np.int64)
+    distinct = np.unique(x, axis=0)
+    n, sums = len(distinct), distinct.sum(axis=0)
+    centred = (n * distinct - sums) / n
+    values, turned = np.linalg.eigh(centred.T @ centred / n)
+    values, turned = values[::-1], turned[:, ::-1][:, :components]
+    deviation = [sum(int(y) ** 2 for y in row) for row in n * x - sums]
+    return n, deviation, ((n * x - sums) / n) @ turned / np.sqrt(values[:components]), values[:components] / values.sum()

@@ -174,3 +174,20 @@ def test_token_store(spark, documents):
         expected[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert rows_of(spark, "op13_range_coder", "doc_id", "start", "n_tokens", "ids_crc32") == expected
+
+
+def test_whitening(spark):
+    import numpy as np
+
+    vectors = duckdb.sql(f"SELECT vec_id, embedding FROM read_parquet('{SF_DIR}/embeddings.parquet')").fetchall()
+    expected = brute.whitened([v for _, v in vectors], 4)
+    found = QUERIES["op11_chebyshev_whitening"](spark, SF_DIR).collect()
+    assert len(found) == 4 * len(vectors)
+    by_row = {(r.vec_id, r.component): r for r in found}
+    n, deviation, projected, explained = expected
+    for c in range(4):
+        own = np.array([by_row[i, c + 1].whitened for i, _ in vectors])
+        assert min(np.abs(own - projected[:, c]).max(), np.abs(own + projected[:, c]).max()) < 1e-9
+        assert all(abs(by_row[i, c + 1].explained - explained[c]) < 1e-12 for i, _ in vectors)
+    assert [by_row[i, 1].deviation for i, _ in vectors] == deviation
+    assert {r.n for r in found} == {n} and {r.identity_error for r in found}.pop() < 1e-9

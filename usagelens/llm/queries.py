@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     exact_dedup, langid, mixing, near_dedup, packing, quality, secrets, suffix_dedup, token_counts, token_store, warc,
+    whitening,
 )
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 from .tables import SPACE, new_path, read, text_of
@@ -101,6 +102,10 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, path, SEPARATOR)
 
 
+def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_store.round_trip(docs, new_path(spark, "token-store"), vocabulary("byte_bpe_50k.json"))
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_digest_index,
         op9_warc_segments,
         op10_separator_scan,
+        op11_chebyshev_whitening,
         op13_range_coder,
     )
 }
