@@ -191,3 +191,9 @@ def test_whitening(spark):
         assert all(abs(by_row[i, c + 1].explained - explained[c]) < 1e-12 for i, _ in vectors)
     assert [by_row[i, 1].deviation for i, _ in vectors] == deviation
     assert {r.n for r in found} == {n} and {r.identity_error for r in found}.pop() < 1e-9
+
+
+def test_conversations(spark):
+    rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM read_parquet('{SF_DIR}/conversations.parquet')").fetchall()
+    columns = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    assert rows_of(spark, "op12_branch_and_bound_repair", "conv_id", *columns) == brute.repaired_conversations(rows)

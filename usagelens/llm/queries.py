@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    exact_dedup, langid, mixing, near_dedup, packing, quality, secrets, suffix_dedup, token_counts, token_store, warc,
-    whitening,
+    conversations, exact_dedup, langid, mixing, near_dedup, packing, quality, secrets, suffix_dedup, token_counts,
+    token_store, warc, whitening,
 )
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 from .tables import SPACE, new_path, read, text_of
@@ -106,6 +106,11 @@ def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_branch_and_bound_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(read(spark, sf_dir, "conversations"))
+    return conversations.repair_conversations(rows).withColumnRenamed("conv", "conv_id")
+
+
 def op13_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_store.round_trip(docs, new_path(spark, "token-store"), vocabulary("byte_bpe_50k.json"))
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_warc_segments,
         op10_separator_scan,
         op11_chebyshev_whitening,
+        op12_branch_and_bound_repair,
         op13_range_coder,
     )
 }
