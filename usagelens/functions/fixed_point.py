@@ -27,7 +27,7 @@ MS_PER_HOUR = 3600 * 1000
 MICROS = 1_000_000
 MICROS_PER_PERCENT = 10_000
 
-_LIMB_BITS = 20
+LIMB_BITS = 20
 
 
 def divide_half_up(numerator: str, denominator: str | int, digits: int = 0) -> str:
@@ -91,9 +91,9 @@ def exact_sum(value: str) -> str:
     ``bigint`` sums, one of the high part and one of the low 20 bits, cannot overflow below 2**43
     rows and are added up once per group.
     """
-    high = f"sum(shiftright({value}, {_LIMB_BITS}))"
-    low = f"sum(({value}) & {(1 << _LIMB_BITS) - 1}L)"
-    return f"(CAST({high} AS DECIMAL(20,0)) * {1 << _LIMB_BITS}L + CAST({low} AS DECIMAL(20,0)))"
+    high = f"sum(shiftright({value}, {LIMB_BITS}))"
+    low = f"sum(({value}) & {(1 << LIMB_BITS) - 1}L)"
+    return f"(CAST({high} AS DECIMAL(20,0)) * {1 << LIMB_BITS}L + CAST({low} AS DECIMAL(20,0)))"
 
 
 def human_bytes(total: str, count: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,14 +14,12 @@ from ..functions.fixed_point import (
     MICROS_PER_PERCENT,
     MS_PER_HOUR,
     MS_PER_SECOND,
-    count_where,
-    exact_sum,
     percent_text,
     scaled_total,
 )
 from ..functions.period import Period
 from ..operators.base import GROUP_KEYS, size_rank
-from ..operators.medians import exact_medians
+from ..operators.counters import Measure, in_bucket, rows_where, total_where, with_medians
 from .reports import PRUNE_RATIO, QUEUED_RATIO, TXBLOCKED_RATIO
 from .summary import credits_per_warehouse, executed_queries
 
@@ -59,8 +56,6 @@ FAMILIES: tuple[tuple[str, BucketFamily], ...] = (
 )
 
 MEASURES = tuple(s.measure for s in STATISTICS)
-#: Measures that are over zero on every profiled row.
-ALWAYS_POSITIVE = ("bytes_scanned", "total_elapsed_time")
 ELIGIBLE_SECONDS = "eligible_query_acceleration_time"
 
 
@@ -78,43 +73,46 @@ def _measured(history: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def _group_aggregates() -> list[str]:
-    """Everything the profile needs from one pass: counters, exact sums and largest values.
+def _history_measures() -> list[tuple[int, Measure]]:
+    """Numbered measures of the history: those with statistics, then the ratios that are only bucketed."""
+    bounds = dict((m, family.bounds) for m, family in FAMILIES)
+    names = [*MEASURES, *[m for m, _ in FAMILIES if m not in MEASURES]]
+    return [
+        (i, Measure(f"m_{m}", m, bounds.get(m, ()), "total_elapsed_time" if m == "bytes_scanned" else None, m in MEASURES))
+        for i, m in enumerate(names)
+    ]
 
-    Every row has scanned data and taken time, so it is in exactly one scan-size and one elapsed-time
-    bucket, and the totals of these two measures follow from the sums per bucket.  That keeps the
-    aggregate under 100 fields, beyond which Spark gives up whole-stage code generation.
-    """
-    aggregates = ["count(*) AS count_total_sql"]
-    for m in MEASURES:
-        aggregates.append(f"max({m}) AS {m}__max")
-        if m not in ALWAYS_POSITIVE:
-            aggregates += [f"{exact_sum(m)} AS {m}__sum", f"count({m}) AS {m}__count"]
+
+#: Numbers of the measures of eligible queries: their seconds, and the rows themselves.
+ELIGIBLE_MEASURES = [
+    (20, Measure(f"m_{ELIGIBLE_SECONDS}", ELIGIBLE_SECONDS)),
+    (21, Measure("m_eligible_row", "0L", median=False)),
+]
+
+
+def _group_aggregates() -> list[str]:
+    """Everything the profile needs of a group, from its counters."""
+    number = {m.value: i for i, m in _history_measures()}
+    aggregates = [f"{rows_where(number['bytes_scanned'])} AS count_total_sql"]
+    for m, i in [*[(m, number[m]) for m in MEASURES], (ELIGIBLE_SECONDS, ELIGIBLE_MEASURES[0][0])]:
+        aggregates += [
+            f"max(CASE WHEN measure = {i} THEN largest END) AS {m}__max",
+            f"{total_where(i)} AS {m}__sum",
+            f"{rows_where(i)} AS {m}__count",
+        ]
     for m, family in FAMILIES:
-        aggregates += [f"{count_where(c)} AS {m}__n{i}" for i, c in zip(family.ordinals, family.conditions(m))]
-    for i, inside in zip(buckets.SCAN_SIZE.ordinals, buckets.SCAN_SIZE.conditions("bytes_scanned")):
+        aggregates += [f"{rows_where(number[m], in_bucket(k))} AS {m}__n{k}" for k in family.ordinals]
+    scanned, elapsed = number["bytes_scanned"], number["total_elapsed_time"]
+    for k in buckets.SCAN_SIZE.ordinals:
         aggregates += [
-            f"{exact_sum(f'CASE WHEN {inside} THEN total_elapsed_time END')} AS scan__elapsed{i}",
-            f"{exact_sum(f'CASE WHEN {inside} THEN bytes_scanned END')} AS scan__bytes{i}",
+            f"{total_where(scanned, in_bucket(k), 'beside')} AS scan__elapsed{k}",
+            f"{total_where(scanned, in_bucket(k))} AS scan__bytes{k}",
         ]
-    for i, inside in zip(buckets.ELAPSED.ordinals, buckets.ELAPSED.conditions("total_elapsed_time")):
-        aggregates.append(f"{exact_sum(f'CASE WHEN {inside} THEN total_elapsed_time END')} AS elapsed__elapsed{i}")
+    aggregates += [f"{total_where(elapsed, in_bucket(k))} AS elapsed__elapsed{k}" for k in buckets.ELAPSED.ordinals]
+    aggregates.append(f"nullif({rows_where(ELIGIBLE_MEASURES[1][0])}, 0) AS total_eligible_qas_sql_count")
     return aggregates
 
 
-def _with_totals(groups: DataFrame) -> DataFrame:
-    """Add the totals that follow from the sums per bucket; an empty bucket's sum is NULL."""
-    parts = {
-        "bytes_scanned": [f"scan__bytes{i}" for i in buckets.SCAN_SIZE.ordinals],
-        "total_elapsed_time": [f"elapsed__elapsed{i}" for i in buckets.ELAPSED.ordinals],
-    }
-    added = []
-    for m, names in parts.items():
-        added.append(" + ".join(f"coalesce({name}, 0)" for name in names) + f" AS {m}__sum")
-        added.append(f"count_total_sql AS {m}__count")
-    return groups.selectExpr("*", *added)
-
-
 def _statistic_columns(s: Statistic) -> list[str]:
     total, count = f"{s.measure}__sum", f"{s.measure}__count"
     mean = scaled_total(total, f"{count} * {s.unit}L", 2)
@@ -158,49 +156,28 @@ def _profile_columns() -> list[str]:
 
 
 def _twice_median(measure: str) -> str:
-    return f"{measure}__twice_median"
+    return f"m_{measure}__twice_median"
 
 
-def _grouped(
-    rows: DataFrame,
-    aggregates: list[str],
-    measures: tuple[str, ...],
-    complete: Callable[[DataFrame], DataFrame] = lambda groups: groups,
-) -> DataFrame:
-    """One row per warehouse and size: ``aggregates`` and twice the exact median of ``measures``."""
-    keys = list(GROUP_KEYS)
-    groups = complete(rows.groupBy(*keys).agg(*map(F.expr, aggregates)))
-    medians = exact_medians(rows, keys, measures)
-    return groups.join(medians.selectExpr(*keys, *[f"{m} AS {_twice_median(m)}" for m in measures]), keys, "left")
-
-
-def query_profile(history: DataFrame, period: Period) -> DataFrame:
-    """Statistics, bucket counts and bucketed times per warehouse and size."""
-    rows = _measured(history, period)
-    groups = _grouped(rows, _group_aggregates(), MEASURES, _with_totals)
-    return groups.selectExpr(*GROUP_KEYS, *_profile_columns())
-
-
-def acceleration_profile(eligible: DataFrame, period: Period) -> DataFrame:
-    """Statistics of eligible acceleration seconds per warehouse and size."""
-    # Rows without a warehouse or size have no counterpart in the profile.
-    rows = period.rows_of(eligible).select(*GROUP_KEYS, ELIGIBLE_SECONDS).dropna(subset=list(GROUP_KEYS))
+def _acceleration_columns() -> list[str]:
+    """Statistics of eligible acceleration seconds; NULL for a group without eligible queries."""
     m = ELIGIBLE_SECONDS
-    aggregates = [
-        "count(*) AS total_eligible_qas_sql_count",
-        f"{exact_sum(m)} AS {m}__sum",
-        f"count({m}) AS {m}__count",
-        f"max({m}) AS {m}__max",
-    ]
-    groups = _grouped(rows, aggregates, (m,))
-    return groups.selectExpr(
-        *GROUP_KEYS,
+    return [
         "total_eligible_qas_sql_count",
         f"{scaled_total(f'{m}__sum', f'{m}__count', 2)} AS `avg_{m}(s)`",
         f"{scaled_total(_twice_median(m), 2, 2)} AS `mdn_{m}(s)`",
         f"CAST({m}__sum AS DECIMAL(38,0)) AS `sum_{m}(s)`",
         f"{m}__max AS `max_{m}(s)`",
-    )
+    ]
+
+
+def query_profile(history: DataFrame, eligible: DataFrame, period: Period) -> DataFrame:
+    """Statistics, bucket counts, bucketed times and acceleration statistics per warehouse and size."""
+    # Eligible rows without a warehouse or size have no counterpart in the profile.
+    seconds = period.rows_of(eligible).select(*GROUP_KEYS, ELIGIBLE_SECONDS).dropna(subset=list(GROUP_KEYS))
+    sources = [(_measured(history, period), _history_measures()), (seconds, ELIGIBLE_MEASURES)]
+    groups = with_medians(sources, GROUP_KEYS, _group_aggregates()).where("count_total_sql > 0")
+    return groups.selectExpr(*GROUP_KEYS, *_profile_columns(), *_acceleration_columns())
 
 
 def warehouse_detail(
@@ -214,22 +191,19 @@ def warehouse_detail(
     Warehouses without credits in the window are left out; groups without eligible queries have NULL
     acceleration statistics.  Credits repeat on every size of a warehouse and must not be added up.
 
-    Unlike the other reports this one runs jobs while it is built: it narrows the medians down (see
-    ``exact_medians``).
+    Unlike the other reports this one runs jobs while it is built: it counts the slices of all measures, and
+    reads the rows of the middle ones again (see ``with_medians``).
     """
-    profile = query_profile(history, period)
+    profile = query_profile(history, eligible, period)
     credits = credits_per_warehouse(metering, period)
-    acceleration = acceleration_profile(eligible, period)
     shares = [
         f"{percent_text(f'`CNTSQL: {text}`', 'count_total_sql', 0)} AS `%CNTSQL: {text}`"
         for text in buckets.SCAN_SIZE.texts
     ]
     keys = list(GROUP_KEYS)
     profiled = [f"`{name}`" for name in profile.columns if name not in keys]
-    accelerated = [f"`{name}`" for name in acceleration.columns if name not in keys]
     return (
         profile.join(credits, "warehouse_name")
-        .join(acceleration, keys, "left")
         .orderBy(F.expr(size_rank("warehouse_size")).desc(), F.col("credits_used").desc(), *keys)
         .selectExpr(
             *keys,
@@ -237,6 +211,5 @@ def warehouse_detail(
             "credits_used",
             *shares,
             *profiled,
-            *accelerated,
         )
     )
