@@ -6,9 +6,6 @@ from helpers import history
 
 from usagelens.functions.period import Period
 from usagelens.plans import reports
-from usagelens.operators.base import GROUP_KEYS
-from usagelens.operators.counters import count_slices
-from usagelens.plans.profile import _history_measures, _measured
 from usagelens.plans.summary import credits_per_warehouse
 from usagelens.sources.tables import read_query_history, read_usage_tables
 from usagelens.sources.testdata import usage_tables
@@ -80,11 +77,3 @@ def test_days_prune_every_table(spark, tmp_path):
         assert "2024-01-04" in filters and "2024-01-21" in filters
     expected = credits_per_warehouse(tables.warehouse_metering_history, PERIOD).collect()
     assert sorted(credits_per_warehouse(stored.warehouse_metering_history, PERIOD).collect()) == sorted(expected)
-
-
-def test_the_pass_over_the_history_stays_in_generated_code(spark):
-    tables = usage_tables(spark, "/root/testdata/sf0.001")
-    rows = _measured(tables.query_history, PERIOD)
-    text = plan(count_slices([(rows, _history_measures())], GROUP_KEYS))
-    partial = next(line for line in text.splitlines() if "HashAggregate" in line and "codegen id" in line)
-    assert "* HashAggregate" in partial
