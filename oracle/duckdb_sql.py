@@ -393,6 +393,7 @@ class Oracle:
             "accounts_seed": ACCOUNTS,
             "accounts_view": ACCOUNTS,
             "document_extract": DOCUMENT_EXTRACT,
+            "staged_scan": STAGED_SCAN,
             "statement_result": f"{_with()} {STATEMENT}",
             "statement_series": _statement_series(),
         }
@@ -409,6 +410,15 @@ DOCUMENT_EXTRACT = (
     "'lang': regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)}) AS VARCHAR) AS json_content FROM pages"
 )
 
+#: All pages in the first scan; in the second one a renewed group, an added one and the name of one that is gone.
+STAGED_SCAN = (
+    "SELECT 1 AS scan, 'group-' || (page_id % 8) AS name, page_id FROM pages "
+    "UNION ALL SELECT 2, 'group-5', page_id FROM pages WHERE page_id % 16 = 5 "
+    "UNION ALL SELECT 2, 'group-8', page_id FROM pages WHERE page_id % 8 = 6 "
+    "UNION ALL SELECT 2, 'group-2', NULL "
+    "UNION ALL SELECT 2, 'group-5', NULL"
+)
+
 #: Twin of the statement of the ``statement_*`` queries, over the whole history.
 STATEMENT = (
     "SELECT warehouse_name, count(*) AS queries, sum(CAST(execution_status = 'FAIL' AS BIGINT))::BIGINT AS failed, "

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 
 from ..session import hadoop_path
 from ..sources import schemas
+from ..sources.versioned import VersionedTable
 
 
 def load_accounts(accounts: DataFrame, path: str) -> DataFrame:
     """Create the table at ``path`` if missing, replace its rows, and return it.
 
-    Running the load again leaves the same table.  Rows that are read from ``path`` itself are
-    rejected: replacing a table while it is read loses it.
+    Running the load again leaves the same rows.  They are replaced at once: readers see the rows before
+    until all new ones are there, also if a load fails half-way.  The version before is kept for those
+    who still read it.  Rows that are read from ``path`` itself are rejected.
     """
     spark = accounts.sparkSession
     target, files = hadoop_path(spark, path)
@@ -22,9 +24,10 @@ def load_accounts(accounts: DataFrame, path: str) -> DataFrame:
     sources = [spark._jvm.org.apache.hadoop.fs.Path(f).toUri().getPath() for f in accounts.inputFiles()]
     if any(source.startswith(f"{folder}/") for source in sources):
         raise ValueError(f"the rows come from {path}, which they are to replace")
-    columns = [accounts[f.name].cast(f.dataType).alias(f.name) for f in schemas.ACCOUNTS]
-    accounts.select(*columns).write.mode("overwrite").parquet(path)
-    return spark.read.schema(schemas.ACCOUNTS).parquet(path)
+    table = VersionedTable(spark, path, schemas.ACCOUNTS)
+    loaded = table.replace(accounts)
+    table.vacuum(keep=2)
+    return loaded
 
 
 def accounts_view(accounts: DataFrame, name: str | None = None) -> DataFrame:
