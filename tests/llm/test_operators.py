@@ -569,3 +569,18 @@ def test_token_files(spark, table):
     assert token_counts.count_tokens(spark, empty, 49407).count() == 0
 
 
+
+
+def test_index_is_read_with_its_own_number_of_buckets(spark, table):
+    path = new_path(spark, "reopened-index")
+    first = exact_dedup.DigestIndex(spark, path, 3)
+    assert {r.id for r in exact_dedup.classify(table([(1, "a b"), (2, "c")]), first).where("kept").collect()} == {1, 2}
+    first.close()
+    again = exact_dedup.DigestIndex(spark, path, 5)
+    assert again.buckets == 3
+    # Known digests are removed by the anti-join: only the new text is appended.
+    found = exact_dedup.classify(table([(7, "ab"), (8, "d")]), again).collect()
+    assert {(r.id, r.keep_id, r.kept) for r in found} == {(7, 1, False), (8, 8, True)}
+    assert again.read().count() == 3
+    again.close()
+    assert not [t for t in spark.catalog.listTables() if t.name in (first.table, again.table)]

@@ -6,6 +6,7 @@ per digest, sort-merge anti-joined with the index without moving it, and what is
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,16 +22,29 @@ def text_digest(column: str) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(text_of(column), f"{SPACE}+", ""), 256))
 
 
+def _stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """Number of buckets of the index under ``path``, None if there is none yet."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    found = [re.fullmatch("buckets-([0-9]+)", s.getPath().getName()) for s in files.listStatus(root)]
+    counts = [int(m[1]) for m in found if m]
+    if len(counts) > 1:
+        raise ValueError(f"{path} holds indexes with {sorted(counts)} buckets")
+    return counts[0] if counts else None
+
+
 class DigestIndex:
     """Digests of all texts seen so far, with the id of the row that stays for each.
 
-    ``path`` may hold an index from an earlier application; the number of buckets is part of the
-    folder's name, so an index is only ever read with the number it was written with.
+    ``path`` may hold an index from an earlier application.  The number of buckets is part of its folder's
+    name and is read back from there, so ``buckets`` only says how a new index is to be laid out.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int) -> None:
         self.spark = spark
-        self.buckets = buckets
+        self.buckets = buckets = _stored_buckets(spark, path) or buckets
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} ({INDEX_SCHEMA}) USING parquet "
@@ -41,6 +55,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table).hint("merge")
 
+    def close(self) -> None:
+        """Forget the table's name; the index stays at its path."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def append(self, groups: DataFrame) -> None:
         """Add the digests of ``groups`` that the index lacks; each bucket is written by one task."""
         fresh = groups.join(self.read(), "digest", "left_anti")
