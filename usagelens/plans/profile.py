@@ -171,13 +171,18 @@ def _acceleration_columns() -> list[str]:
     ]
 
 
-def query_profile(history: DataFrame, eligible: DataFrame, period: Period) -> DataFrame:
-    """Statistics, bucket counts, bucketed times and acceleration statistics per warehouse and size."""
-    # Eligible rows without a warehouse or size have no counterpart in the profile.
-    seconds = period.rows_of(eligible).select(*GROUP_KEYS, ELIGIBLE_SECONDS).dropna(subset=list(GROUP_KEYS))
-    sources = [(_measured(history, period), _history_measures()), (seconds, ELIGIBLE_MEASURES)]
+def query_profile(history: DataFrame, period: Period, eligible: DataFrame | None = None) -> DataFrame:
+    """Statistics, bucket counts and bucketed times per warehouse and size, with acceleration statistics if
+    ``eligible`` queries are given."""
+    sources = [(_measured(history, period), _history_measures())]
+    columns = _profile_columns()
+    if eligible is not None:
+        # Eligible rows without a warehouse or size have no counterpart in the profile.
+        seconds = period.rows_of(eligible).select(*GROUP_KEYS, ELIGIBLE_SECONDS).dropna(subset=list(GROUP_KEYS))
+        sources.append((seconds, ELIGIBLE_MEASURES))
+        columns += _acceleration_columns()
     groups = with_medians(sources, GROUP_KEYS, _group_aggregates()).where("count_total_sql > 0")
-    return groups.selectExpr(*GROUP_KEYS, *_profile_columns(), *_acceleration_columns())
+    return groups.selectExpr(*GROUP_KEYS, *columns)
 
 
 def warehouse_detail(
@@ -194,7 +199,7 @@ def warehouse_detail(
     Unlike the other reports this one runs jobs while it is built: it counts the slices of all measures, and
     reads the rows of the middle ones again (see ``with_medians``).
     """
-    profile = query_profile(history, eligible, period)
+    profile = query_profile(history, period, eligible)
     credits = credits_per_warehouse(metering, period)
     shares = [
         f"{percent_text(f'`CNTSQL: {text}`', 'count_total_sql', 0)} AS `%CNTSQL: {text}`"
