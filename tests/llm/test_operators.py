@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import math
 import random
 
 import numpy as np
@@ -206,6 +207,61 @@ def test_quality_of_any_script(spark, table):
     assert sum(i >= 1000 for i in kept) >= 20
 
 
+def test_quality_of_a_noisy_rule(spark, table):
+    """A rule that votes bad at random loses its weight; one that agrees with others rejects on its own."""
+    r = random.Random(31)
+    lines = lambda i: "\n".join(prose(1000 * i + k, 12).capitalize() for k in range(10))
+    glued = lambda i: " ".join(w + r.choice(["###", "$$$", "%%%"]) for w in lines(i).split())
+    barred = lambda i: lines(i).replace(" ", " |||||| ", 12)
+    rows = [(i, lines(i)) for i in range(200)] + [(1000 + i, glued(1000 + i)) for i in range(40)]
+    rows += [(2000 + i, barred(2000 + i)) for i in range(10)]
+    noisy = ("word_chars % 3 = 0", "word_chars % 3 <> 0")
+    rules = quality.RULES | {"noisy": noisy}
+    out = quality.judged(table(rows), rules=rules).collect()
+    bad_noise = {x.doc_id for x in out if x.vote_noisy == -1}
+    assert len([i for i in bad_noise if i < 1000]) > 30
+    assert {x.doc_id for x in out if x.kept} == set(range(200))
+    votes = {x.doc_id: [x[f"vote_{rule}"] for rule in rules if rule != "noisy"] for x in out}
+    assert all(votes[2000 + i].count(-1) == 1 for i in range(10))
+    judged = spark.createDataFrame(out)
+    against, for_ = quality.fit(judged, rules).weights("noisy")
+    assert abs(against) < 0.7 and abs(for_) < 0.7
+    against, _ = quality.fit(judged, rules).weights("symbols")
+    assert against < -3
+
+
+def test_quality_estimates(spark, table):
+    """The estimates against the same rounds in plain Python."""
+    r = random.Random(32)
+    rules = ("a", "b", "c")
+    rows = [tuple(r.choice((-1, 0, 1, 1, 1)) for _ in rules) for _ in range(300)] + [(-1, -1, 0)] * 40
+    votes = table(rows, ", ".join(f"vote_{x} int" for x in rules))
+    share, on_good, on_bad = quality.SHARE, [quality.BAD_ON_GOOD] * 3, [quality.BAD_ON_BAD] * 3
+    for _ in range(quality.ROUNDS):
+        good = []
+        for row in rows:
+            odds = math.log(share / (1 - share))
+            for v, g, b in zip(row, on_good, on_bad):
+                odds += {-1: math.log(g / b), 0: 0, 1: math.log((1 - g) / (1 - b))}[v]
+            good.append(1 / (1 + math.exp(-odds)))
+        share = (sum(good) + quality.PRIOR * quality.SHARE) / (len(rows) + quality.PRIOR)
+        for k in range(3):
+            cast = lambda of, *kinds: sum(of(q) for q, row in zip(good, rows) if row[k] in kinds)
+            g, n = cast(lambda q: q, -1) + quality.PRIOR * quality.BAD_ON_GOOD, cast(lambda q: q, -1, 1) + quality.PRIOR
+            b, m = cast(lambda q: 1 - q, -1) + quality.PRIOR * quality.BAD_ON_BAD, cast(lambda q: 1 - q, -1, 1) + quality.PRIOR
+            on_good[k], on_bad[k] = (g / n, b / m) if b / m >= g / n else ((g + b) / (n + m),) * 2
+    model = quality.fit(votes, rules)
+    assert model.share == pytest.approx(share, rel=1e-9)
+    assert list(model.on_good.values()) == pytest.approx(on_good, rel=1e-9)
+    assert list(model.on_bad.values()) == pytest.approx(on_bad, rel=1e-9)
+    assert quality.fit(votes.limit(0), rules).share == quality.SHARE
+
+
+def test_quality_names_clash(spark, table):
+    with pytest.raises(ValueError, match="prefix"):
+        quality.judged(clash(table([(1, "a")]), "kept"))
+
+
 def test_repeat_words_random(spark, table):
     r = random.Random(9)
     rows = [(i, " ".join(r.choice("abcd"[: r.randint(1, 4)]) for _ in range(r.randint(0, 30)))) for i in range(300)]

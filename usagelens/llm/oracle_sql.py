@@ -5,7 +5,7 @@ Written with SQL's own operators; only the character classes and the allow-list
 
 from __future__ import annotations
 
-from .quality import EXPECTED, RULES, LabelModel
+from .quality import BAD_ON_BAD, BAD_ON_GOOD, PRIOR, ROUNDS, RULES, SHARE
 from .secrets import ALLOWED, CLASSES
 
 MARK, STAND_IN = "chr(1)", "chr(2)"
@@ -78,25 +78,41 @@ FROM documents d
 """
 
 
-def _quality_sql(rounds: int = 15) -> str:
-    """Measures, votes, and the rounds of expectation-maximisation one after the other."""
+def _quality_sql(rounds: int = ROUNDS) -> str:
+    """Measures, votes, and the rounds of expectation-maximisation one after the other.
+
+    ``g_`` and ``b_`` are the shares of bad votes among a rule's votes on good and on bad documents.
+    """
     rules = list(RULES)
     votes = ", ".join(
         f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v_{rule}" for rule, (bad, good) in RULES.items()
     )
-    start = ", ".join(f"CAST({EXPECTED} AS DOUBLE) AS a_{rule}" for rule in rules)
-    balance = LabelModel().balance
-    odds = f"ln({balance} / (1 - {balance})) + " + " + ".join(f"v_{r} * ln(a_{r} / (1 - a_{r}))" for r in rules)
+    start = f"CAST({SHARE} AS DOUBLE) AS share, " + ", ".join(
+        f"CAST({BAD_ON_GOOD} AS DOUBLE) AS g_{r}, CAST({BAD_ON_BAD} AS DOUBLE) AS b_{r}" for r in rules
+    )
+    odds = "ln(share / (1 - share)) + " + " + ".join(
+        f"CASE v_{r} WHEN -1 THEN ln(g_{r} / b_{r}) WHEN 1 THEN ln((1 - g_{r}) / (1 - b_{r})) ELSE 0 END" for r in rules
+    )
     good = f"1 / (1 + exp(-({odds})))"
     ctes = []
     for k in range(rounds):
-        estimates = ", ".join(
-            f"coalesce(greatest(least((sum(CASE v_{r} WHEN 1 THEN n * good WHEN -1 THEN n * (1 - good) END)"
-            f" / sum(n) FILTER (v_{r} <> 0) + {EXPECTED}) / 2, 0.97), 0.55), {EXPECTED}) AS a_{r}"
+        sums = ", ".join(
+            f"coalesce(sum(n * good) FILTER (v_{r} = -1), 0) + {PRIOR * BAD_ON_GOOD} AS bad_good_{r}, "
+            f"coalesce(sum(n * good) FILTER (v_{r} <> 0), 0) + {PRIOR} AS cast_good_{r}, "
+            f"coalesce(sum(n * (1 - good)) FILTER (v_{r} = -1), 0) + {PRIOR * BAD_ON_BAD} AS bad_bad_{r}, "
+            f"coalesce(sum(n * (1 - good)) FILTER (v_{r} <> 0), 0) + {PRIOR} AS cast_bad_{r}"
+            for r in rules
+        )
+        rates = ", ".join(
+            f"CASE WHEN bad_bad_{r} / cast_bad_{r} < bad_good_{r} / cast_good_{r} "
+            f"THEN (bad_good_{r} + bad_bad_{r}) / (cast_good_{r} + cast_bad_{r}) ELSE {own} END AS {side}_{r}"
             for r in rules
+            for side, own in (("g", f"bad_good_{r} / cast_good_{r}"), ("b", f"bad_bad_{r} / cast_bad_{r}"))
         )
         ctes.append(
-            f"fit{k + 1} AS MATERIALIZED (SELECT {estimates} FROM (SELECT p.*, {good} AS good FROM patterns p, fit{k}))"
+            f"fit{k + 1} AS MATERIALIZED (SELECT share, {rates} FROM ("
+            f"SELECT (coalesce(sum(n * good), 0) + {PRIOR * SHARE}) / (coalesce(sum(n), 0) + {PRIOR}) AS share, {sums} "
+            f"FROM (SELECT p.*, {good} AS good FROM patterns p, fit{k})))"
         )
     names = ", ".join(f"v_{r}" for r in rules)
     return f"""WITH spelt AS (
@@ -113,13 +129,13 @@ def _quality_sql(rounds: int = 15) -> str:
   SELECT s.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines,
-         length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_capitals,
+         length(regexp_replace(t, '[^\\p{{L}}\\p{{M}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_capitals,
          length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclamations
   FROM spelt s LEFT JOIN covered c ON c.doc_id = s.doc_id
 ), voted AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {votes} FROM measured
 ), patterns AS MATERIALIZED (
-  SELECT {names}, count(*) AS n FROM voted GROUP BY ALL
+  SELECT {names}, count(*) AS n FROM voted WHERE NOT base_failed GROUP BY ALL
 ), fit0 AS (SELECT {start}), {", ".join(ctes)}
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND round({good}, 6) >= 0.5 AS kept, round({good}, 6) AS quality

@@ -1,14 +1,16 @@
 """Quality rules as weak supervision.
 
 Rules vote good (1), bad (-1) or abstain (0).  How far each rule is to be trusted is not set by hand:
-expectation-maximisation estimates the accuracy of every rule from the agreement of the votes, and a
-document stays if its posterior probability of being good is at least
-one half.  Everything is DataFrame work; the driver only carries the estimates, one number per rule.
+expectation-maximisation estimates the share of good documents and every rule's accuracy on good and on
+bad ones from the agreement of the votes, and a document stays if its posterior probability of being good
+is at least one half.  Everything is DataFrame work; the driver only carries the estimates, two numbers per
+rule.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -22,33 +24,30 @@ MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 
-#: Rule -> (votes bad, votes good) as SQL over the measured columns; neither is an abstention.  Rules
-#: that look for one fault abstain where they do not find it: that says little about all the others.
-#: Limits hold for any script: combining marks count as letters, word length is in code points, and few
-#: letters are a fault where symbols stand in for them, or where there are next to none.
-NEVER = "false"
+#: Rule -> (votes bad, votes good) as SQL over the measured columns; neither is an abstention.  Every
+#: rule votes good on evidence of its own, so bounds need not be so wide that no clean text crosses one:
+#: what a vote weighs is estimated.  Bounds hold for any script: combining marks count as letters and
+#: word length is in code points.  Scripts without capitals get no vote from that rule.
 RULES = {
-    "length": ("n_words < 50", NEVER),
-    "repetition": ("n_repeat_words > 0.3 * n_words", NEVER),
-    "symbols": ("n_symbols > 0.05 * word_chars", NEVER),
-    "long_words": ("word_chars > 12 * n_words", NEVER),
-    "short_words": ("word_chars < 1.5 * n_words", NEVER),
-    "lines": ("n_dup_lines > 0.5 * n_lines", NEVER),
-    "letters": (
-        "n_letters < 0.1 * word_chars OR n_letters < 0.6 * word_chars AND n_symbols > 0.01 * word_chars", NEVER
-    ),
-    "capitals": ("n_capitals > 0.5 * n_letters", NEVER),
-    "exclamations": ("n_exclamations > 0.5 * n_words", NEVER),
-    "prose": (
-        NEVER,
-        "n_letters >= 0.85 * word_chars AND n_symbols <= 0.01 * word_chars AND n_capitals <= 0.2 * n_letters "
-        "AND n_exclamations <= 0.1 * n_words",
+    "repetition": ("n_repeat_words > 0.2 * n_words", "n_repeat_words <= 0.05 * n_words"),
+    "symbols": ("n_symbols > 0.05 * word_chars", "n_symbols <= 0.01 * word_chars"),
+    "word_length": (
+        "word_chars > 12 * n_words OR word_chars < 2 * n_words",
+        "word_chars >= 3 * n_words AND word_chars <= 10 * n_words",
     ),
+    "lines": ("n_dup_lines > 0.3 * n_lines", "n_lines > 1 AND n_dup_lines = 0"),
+    "letters": ("n_letters < 0.8 * word_chars", "n_letters >= 0.9 * word_chars"),
+    "no_letters": ("n_letters < 0.1 * word_chars", "n_letters >= 0.5 * word_chars"),
+    "capitals": ("n_capitals > 0.3 * n_letters", "n_capitals > 0 AND n_capitals <= 0.1 * n_letters"),
+    "exclamations": ("n_exclamations > 0.1 * n_words", "n_exclamations <= 0.01 * n_words"),
 }
 
-#: What accuracies are shrunk half-way to.  Agreement cannot tell how right a rule is about a fault
-#: that no other rule sees; left alone, the estimate would drift to chance.
-EXPECTED = 0.95
+#: Where the estimates begin, and what they are drawn to with the weight of PRIOR votes (documents, for
+#: the share), whatever the number of documents: the share of good documents, and of the votes on good
+#: and on bad documents the share that is bad.  By these alone, one bad vote among good ones rejects nothing.
+PRIOR = 10
+SHARE, BAD_ON_GOOD, BAD_ON_BAD = 0.8, 0.05, 0.5
+ROUNDS = 20
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -150,82 +149,119 @@ def measured(docs: DataFrame, text_column: str = "text", prefix: str = "") -> Da
 
 @dataclass
 class LabelModel:
-    """Of every rule the share of its votes that are right; ``balance`` is the given share of good documents."""
+    """The share of good documents, and per rule the share of bad votes on good and on bad documents."""
+
+    share: float = SHARE
+    on_good: dict[str, float] = field(default_factory=dict)
+    on_bad: dict[str, float] = field(default_factory=dict)
 
-    balance: float = 0.6
-    accuracy: dict[str, float] = field(default_factory=lambda: dict.fromkeys(RULES, EXPECTED))
+    def weights(self, rule: str) -> tuple[float, float]:
+        """What a bad and a good vote add to the log odds of a document being good."""
+        good, bad = self.on_good.get(rule, BAD_ON_GOOD), self.on_bad.get(rule, BAD_ON_BAD)
+        return math.log(good / bad), math.log((1 - good) / (1 - bad))
 
-    def log_odds(self, prefix: str = "") -> Column:
+    def log_odds(self, rules: Iterable[str], prefix: str = "") -> Column:
         """Log odds of a document being good, from its votes; abstentions say nothing."""
-        total = F.lit(math.log(self.balance / (1 - self.balance)))
-        for rule, a in self.accuracy.items():
-            total = total + F.col(f"{prefix}vote_{rule}") * F.lit(math.log(a / (1 - a)))
+        total = F.lit(math.log(self.share / (1 - self.share)))
+        for rule in rules:
+            vote = F.col(f"{prefix}vote_{rule}")
+            against, for_ = self.weights(rule)
+            total = total + F.when(vote == -1, F.lit(against)).when(vote == 1, F.lit(for_)).otherwise(F.lit(0.0))
         return total
 
-    def posterior(self, prefix: str = "") -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds(prefix)))
+    def posterior(self, rules: Iterable[str], prefix: str = "") -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds(rules, prefix)))
 
 
-def _votes(prefix: str) -> list[Column]:
+def _votes(prefix: str, rules: Mapping[str, tuple[str, str]]) -> list[Column]:
     def vote(bad: str, good: str) -> Column:
         named = lambda sql: " ".join(prefix + t if t in MEASURES else t for t in sql.split(" "))
         return F.expr(f"CASE WHEN {named(bad)} THEN -1 WHEN {named(good)} THEN 1 ELSE 0 END")
 
-    return [vote(*conditions).alias(f"{prefix}vote_{rule}") for rule, conditions in RULES.items()]
+    return [vote(*conditions).alias(f"{prefix}vote_{rule}") for rule, conditions in rules.items()]
 
 
-def fit(votes: DataFrame, prefix: str = "", rounds: int = 15) -> LabelModel:
-    """Expectation-maximisation over the vote patterns of all documents.
+def fit(votes: DataFrame, rules: Iterable[str] = tuple(RULES), prefix: str = "", rounds: int = ROUNDS) -> LabelModel:
+    """Expectation-maximisation over the vote patterns of all documents in ``votes``.
 
-    ``votes`` is reduced to one row per pattern, at most three to the power of the number of rules
-    whatever the number of documents.  Each round is one aggregate over these.  Estimates are shrunk
-    half-way to ``EXPECTED`` and kept between 0.55 and 0.97: a rule is better than chance, which also
-    tells the two classes apart, and never certain.
+    They are reduced to one row per pattern, at most three to the power of the number of rules whatever
+    the number of documents.  Each round is one aggregate over these, which estimates the share of good
+    documents and every rule's two accuracies.  A rule's vote never counts for the other side: where it
+    votes bad at least as often on good documents as on bad ones, both get its overall rate, so that it
+    weighs nothing.  Without documents the prior is left.
     """
-    names = [f"{prefix}vote_{rule}" for rule in RULES]
-    patterns = stored(votes.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "vote-patterns")
+    rules = list(rules)
+    names = [f"{prefix}vote_{rule}" for rule in rules]
+    counted = votes.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1)
+    patterns = stored(counted.select("n", F.array(*names).alias("votes")), "vote-patterns")
     model = LabelModel()
     good, bad = F.col("n") * F.col("good"), F.col("n") * (1 - F.col("good"))
+    sums = {
+        f"{side}{vote}_{k}": F.coalesce(F.sum(F.when(F.get("votes", F.lit(k)) == vote, weight)), F.lit(0.0))
+        for k in range(len(rules))
+        for side, weight in (("good", good), ("bad", bad))
+        for vote in (-1, 1)
+    }
+
+    def odds() -> Column:
+        # Estimates go in as arrays, not as constants of the generated code, which is compiled once then.
+        against, for_ = (F.lit(list(w)) for w in zip(*[model.weights(rule) for rule in rules]))
+        weighed = F.transform(
+            "votes", lambda v, k: F.when(v == -1, F.get(against, k)).when(v == 1, F.get(for_, k)).otherwise(F.lit(0.0))
+        )
+        return F.aggregate(weighed, F.lit(math.log(model.share / (1 - model.share))), lambda total, w: total + w)
+
     for _ in range(rounds):
         row = (
-            patterns.withColumn("good", model.posterior(prefix))
-            .agg(
-                F.sum("n").alias("n"),
-                *[F.sum(F.when(F.col(v) == 1, good).when(F.col(v) == -1, bad)).alias(f"right_{v}") for v in names],
-                *[F.sum(F.when(F.col(v) != 0, F.col("n"))).alias(f"cast_{v}") for v in names],
-            )
+            patterns.withColumn("good", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds())))
+            .agg(F.sum("n").alias("n"), F.sum(good).alias("n_good"), *[c.alias(n) for n, c in sums.items()])
             .first()
         )
         if not row["n"]:
             break
-        accuracy = {
-            rule: min(max((row[f"right_{v}"] / row[f"cast_{v}"] + EXPECTED) / 2, 0.55), 0.97) if row[f"cast_{v}"] else before
-            for (rule, before), v in zip(model.accuracy.items(), names)
-        }
-        model = LabelModel(model.balance, accuracy)
+        on_good, on_bad = {}, {}
+        for k, rule in enumerate(rules):
+            g, b = row[f"good-1_{k}"] + PRIOR * BAD_ON_GOOD, row[f"bad-1_{k}"] + PRIOR * BAD_ON_BAD
+            n_good = row[f"good-1_{k}"] + row[f"good1_{k}"] + PRIOR
+            n_bad = row[f"bad-1_{k}"] + row[f"bad1_{k}"] + PRIOR
+            worse = b / n_bad < g / n_good
+            on_good[rule] = (g + b) / (n_good + n_bad) if worse else g / n_good
+            on_bad[rule] = on_good[rule] if worse else b / n_bad
+        model = LabelModel((row["n_good"] + PRIOR * SHARE) / (row["n"] + PRIOR), on_good, on_bad)
     return model
 
 
-def judged(docs: DataFrame, text_column: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
+def judged(
+    docs: DataFrame,
+    text_column: str = "text",
+    prefix: str = "",
+    keep: list[str] | None = None,
+    rules: Mapping[str, tuple[str, str]] = RULES,
+) -> DataFrame:
     """``docs`` (or its columns ``keep``) with measures, votes, ``base_failed``, ``quality`` and ``kept``.
 
     The added columns carry ``prefix``; choose one that no column of ``docs`` starts with.  NULL and
     empty texts have no words and fail the base limits, as do all texts under 50 words.  Any other
     document stays if the rules, weighted by their estimated accuracies, make it good with a
-    probability of at least one half.  Repeated rows count and are judged one by one; an empty table
-    gives an empty result.
+    probability of at least one half.  Accuracies are estimated from all documents that the base limits
+    leave to be judged: the others are decided, and would make short texts the bad class.  Repeated rows
+    count and are judged one by one; an empty table gives an empty result.  A column of ``docs`` that has
+    the name of an added one raises.
 
     Measures and votes are worked out once and stored with the columns to keep.
     """
     columns = docs.columns if keep is None else keep
-    rows = measured(docs, text_column, prefix)
     p = prefix
+    added = {p + m for m in MEASURES} | {f"{p}vote_{r}" for r in rules} | {p + c for c in ("base_failed", "quality", "kept")}
+    if clashing := added & set(columns):
+        raise ValueError(f"columns {sorted(clashing)} exist; choose another prefix")
+    rows = measured(docs, text_column, prefix)
     failed = (F.col(f"{p}n_words") < MIN_WORDS) | (
         100 * F.col(f"{p}n_repeat_words") > MAX_REPEATED_PERCENT * F.col(f"{p}n_words")
     )
-    rows = rows.select(*columns, *[p + m for m in MEASURES], failed.alias(f"{p}base_failed"), *_votes(prefix))
+    rows = rows.select(*columns, *[p + m for m in MEASURES], failed.alias(f"{p}base_failed"), *_votes(prefix, rules))
     rows = stored(rows, "quality")
-    model = fit(rows, prefix)
-    return rows.withColumn(f"{p}quality", F.round(model.posterior(prefix), 6)).withColumn(
+    model = fit(rows.where(~F.col(f"{p}base_failed")), rules, prefix)
+    return rows.withColumn(f"{p}quality", F.round(model.posterior(rules, prefix), 6)).withColumn(
         f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}quality") >= 0.5)
     )
