@@ -210,11 +210,12 @@ def test_quality_of_any_script(spark, table):
 def test_quality_of_a_noisy_rule(spark, table):
     """A rule that votes bad at random loses its weight; one that agrees with others rejects on its own."""
     r = random.Random(31)
-    lines = lambda i: "\n".join(prose(1000 * i + k, 12).capitalize() for k in range(10))
-    glued = lambda i: " ".join(w + r.choice(["###", "$$$", "%%%"]) for w in lines(i).split())
-    barred = lambda i: lines(i).replace(" ", " |||||| ", 12)
-    rows = [(i, lines(i)) for i in range(200)] + [(1000 + i, glued(1000 + i)) for i in range(40)]
-    rows += [(2000 + i, barred(2000 + i)) for i in range(10)]
+    word = lambda: "".join(r.choice(["ra", "lo", "mi", "ten", "sor", "vel"]) for _ in range(2))
+    lines = lambda: "\n".join(" ".join(word() for _ in range(12)).capitalize() for _ in range(10))
+    glued = lambda: " ".join(w + r.choice(["###", "$$$", "%%%"]) for w in lines().split())
+    barred = lambda: lines().replace(" ", " |||||||| ", 12)
+    rows = [(i, lines()) for i in range(200)] + [(1000 + i, glued()) for i in range(40)]
+    rows += [(2000 + i, barred()) for i in range(10)]
     noisy = ("word_chars % 3 = 0", "word_chars % 3 <> 0")
     rules = quality.RULES | {"noisy": noisy}
     out = quality.judged(table(rows), rules=rules).collect()
