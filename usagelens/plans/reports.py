@@ -6,6 +6,8 @@ Every report takes a fact table, a window and a warehouse name, and returns a la
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 
 from ..functions import buckets
@@ -22,7 +24,7 @@ from ..functions.fixed_point import (
 )
 from ..functions.period import Period
 from ..operators.base import GROUP_KEYS, of_warehouse, successful_queries
-from ..operators.detail import ranked
+from ..operators.detail import Page, RawBound, ranked
 from ..operators.histogram import histogram
 
 QUERY_COLUMNS = (*GROUP_KEYS, "query_id", "query_text")
@@ -120,7 +122,14 @@ def local_spill_histogram_by_start(
 # --- Ranked lists ---------------------------------------------------------------------------------
 
 
-def _spill_top(history: DataFrame, period: Period, warehouse: str | None, measure: str, limit: int | None) -> DataFrame:
+def _rounded(column: str, unit: int, digits: int) -> RawBound:
+    """The stored column behind a figure that is rounded to ``digits`` of ``unit``."""
+    return RawBound(column, lambda figure: largest_raw_rounding_to(str(Decimal(figure).scaleb(-digits)), unit, digits))
+
+
+def _spill_top(
+    history: DataFrame, period: Period, warehouse: str | None, measure: str, limit: int | None, page: Page | None
+) -> DataFrame:
     rows = successful_queries(history, period, warehouse).where(f"{measure} > 0")
     local, remote = "bytes_spilled_to_local_storage", "bytes_spilled_to_remote_storage"
     columns = (
@@ -131,21 +140,29 @@ def _spill_top(history: DataFrame, period: Period, warehouse: str | None, measur
         remote,
         f"{scaled(remote, GB, 2)} AS {remote}_gb",
     )
-    return ranked(rows, columns, [measure], limit)
+    return ranked(rows, columns, [measure], limit, page, RawBound(measure))
 
 
 def local_spill_top(
-    history: DataFrame, period: Period, warehouse: str | None = None, limit: int | None = None
+    history: DataFrame,
+    period: Period,
+    warehouse: str | None = None,
+    limit: int | None = None,
+    page: Page | None = None,
 ) -> DataFrame:
     """Queries that spilled to local storage, largest first.  Unscanned queries are included."""
-    return _spill_top(history, period, warehouse, "bytes_spilled_to_local_storage", limit)
+    return _spill_top(history, period, warehouse, "bytes_spilled_to_local_storage", limit, page)
 
 
 def remote_spill_top(
-    history: DataFrame, period: Period, warehouse: str | None = None, limit: int | None = None
+    history: DataFrame,
+    period: Period,
+    warehouse: str | None = None,
+    limit: int | None = None,
+    page: Page | None = None,
 ) -> DataFrame:
     """Queries that spilled to remote storage, largest first.  Unscanned queries are included."""
-    return _spill_top(history, period, warehouse, "bytes_spilled_to_remote_storage", limit)
+    return _spill_top(history, period, warehouse, "bytes_spilled_to_remote_storage", limit, page)
 
 
 def _wait_top(
@@ -155,6 +172,7 @@ def _wait_top(
     measure: str,
     names: tuple[str, str],
     limit: int | None,
+    page: Page | None,
 ) -> DataFrame:
     # Listed are queries whose wait, rounded to 0.01 s, is over 0.
     shortest = smallest_raw_rounding_above(0, MS_PER_SECOND, 2)
@@ -167,27 +185,39 @@ def _wait_top(
         f"{scaled(measure, MS_PER_SECOND, 2)} AS {seconds}",
         f"{percent_text(measure, 'total_elapsed_time', 2)} AS {percent}",
     )
-    return ranked(rows, columns, [divide_half_up(measure, MS_PER_SECOND, 2)], limit)
+    return ranked(rows, columns, [divide_half_up(measure, MS_PER_SECOND, 2)], limit, page, _rounded(measure, MS_PER_SECOND, 2))
 
 
 def queue_top(
-    history: DataFrame, period: Period, warehouse: str | None = None, limit: int | None = None
+    history: DataFrame,
+    period: Period,
+    warehouse: str | None = None,
+    limit: int | None = None,
+    page: Page | None = None,
 ) -> DataFrame:
     """Queries that waited in the queue, longest first."""
     names = ("queued_time_s", "percent_queued")
-    return _wait_top(history, period, warehouse, "queued_overload_time", names, limit)
+    return _wait_top(history, period, warehouse, "queued_overload_time", names, limit, page)
 
 
 def txblock_top(
-    history: DataFrame, period: Period, warehouse: str | None = None, limit: int | None = None
+    history: DataFrame,
+    period: Period,
+    warehouse: str | None = None,
+    limit: int | None = None,
+    page: Page | None = None,
 ) -> DataFrame:
     """Queries blocked by transactions, longest first."""
     names = ("txblocked_time_s", "percent_txblocked")
-    return _wait_top(history, period, warehouse, "transaction_blocked_time", names, limit)
+    return _wait_top(history, period, warehouse, "transaction_blocked_time", names, limit, page)
 
 
 def elapsed_top(
-    history: DataFrame, period: Period, warehouse: str | None = None, limit: int | None = None
+    history: DataFrame,
+    period: Period,
+    warehouse: str | None = None,
+    limit: int | None = None,
+    page: Page | None = None,
 ) -> DataFrame:
     """Queries by elapsed time, longest first; those that round to 0.0 s are left out."""
     shortest = smallest_raw_rounding_above(0, MS_PER_SECOND, 1)
@@ -197,7 +227,7 @@ def elapsed_top(
         f"{period.local_time(rows)} AS start_time",
         f"{scaled('total_elapsed_time', MS_PER_SECOND, 1)} AS total_elapsed_time_s",
     )
-    return ranked(rows, columns, [divide_half_up("total_elapsed_time", MS_PER_SECOND, 1)], limit)
+    return ranked(rows, columns, [divide_half_up("total_elapsed_time", MS_PER_SECOND, 1)], limit, page, _rounded("total_elapsed_time", MS_PER_SECOND, 1))
 
 
 def scan_size_range(
@@ -207,6 +237,7 @@ def scan_size_range(
     min_gb: float | str = 0,
     max_gb: float | str = 10,
     limit: int | None = None,
+    page: Page | None = None,
 ) -> DataFrame:
     """Queries whose scanned size in GB, rounded to 0.01, is in ``(min_gb, max_gb]``, largest first."""
     smallest = smallest_raw_rounding_above(min_gb, GB, 2)
@@ -219,11 +250,15 @@ def scan_size_range(
         f"CAST({scaled('bytes_scanned', GB, 2)} AS DECIMAL(10,2)) AS bytes_scanned_gb",
         f"CAST({scaled('total_elapsed_time', MS_PER_SECOND, 2)} AS DECIMAL(10,2)) AS total_elapsed_time_s",
     )
-    return ranked(rows, columns, [divide_half_up("bytes_scanned", GB, 2)], limit)
+    return ranked(rows, columns, [divide_half_up("bytes_scanned", GB, 2)], limit, page, _rounded("bytes_scanned", GB, 2))
 
 
 def prune_ratio_detail(
-    history: DataFrame, period: Period, warehouse: str | None = None, limit: int | None = None
+    history: DataFrame,
+    period: Period,
+    warehouse: str | None = None,
+    limit: int | None = None,
+    page: Page | None = None,
 ) -> DataFrame:
     """Queries that scanned 90 to 100 % of the partitions (rounded to 0.01 %), largest share first."""
     # The ratio in hundredths of a percent.
@@ -242,13 +277,17 @@ def prune_ratio_detail(
         f"{scaled('bytes_scanned', GB, 2)} AS bytes_scanned_gb",
         f"{scaled('total_elapsed_time', MS_PER_SECOND, 2)} AS total_elapsed_time_s",
     )
-    return ranked(rows, columns, ["points", "partitions_scanned"], limit)
+    return ranked(rows, columns, ["points", "partitions_scanned"], limit, page)
 
 
 def accel_eligible(
-    eligible: DataFrame, period: Period, warehouse: str | None = None, limit: int | None = None
+    eligible: DataFrame,
+    period: Period,
+    warehouse: str | None = None,
+    limit: int | None = None,
+    page: Page | None = None,
 ) -> DataFrame:
     """Queries eligible for acceleration, most eligible seconds first."""
     rows = period.rows_of(of_warehouse(eligible, warehouse))
     columns = ("query_id", "query_text", "eligible_query_acceleration_time", "upper_limit_scale_factor")
-    return ranked(rows, columns, ["eligible_query_acceleration_time"], limit)
+    return ranked(rows, columns, ["eligible_query_acceleration_time"], limit, page, RawBound("eligible_query_acceleration_time"))
