@@ -290,6 +290,8 @@ def score(docs: DataFrame, head: Head, rest: DataFrame | None, langs: list[str],
 
     def add_up(batches):
         held = shared.value
+        # A slice meets all languages at once, so with many of them it is shorter.
+        step = max(1, 8 * SLICE // max(8, width))
         for batch in batches:
             texts = batch.column(2).to_pylist()
             sizes, sums, left = [], [], []
@@ -297,8 +299,8 @@ def score(docs: DataFrame, head: Head, rest: DataFrame | None, langs: list[str],
                 keys, starts = sequences(texts[begin:end])
                 total = np.zeros((end - begin, width), np.int64)
                 absent, owners = [], []
-                for low in range(0, len(keys), SLICE):
-                    part = keys[low : low + SLICE]
+                for low in range(0, len(keys), step):
+                    part = keys[low : low + step]
                     values, missing = held.look_up(part)
                     cut = np.clip(starts - low, 0, len(part))
                     own = np.flatnonzero(cut[1:] > cut[:-1])
