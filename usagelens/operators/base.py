@@ -15,8 +15,12 @@ def successful_queries(history: DataFrame, period: Period, warehouse: str | None
 
     All predicates compare a stored column with a constant, so they reach the scan.
     """
-    rows = history.where((F.col("execution_status") == "SUCCESS") & F.col("warehouse_size").isNotNull())
-    return period.rows_of(of_warehouse(rows, warehouse))
+    return period.rows_of(of_warehouse(ran(history), warehouse))
+
+
+def ran(history: DataFrame) -> DataFrame:
+    """Succeeded queries that ran on a warehouse."""
+    return history.where((F.col("execution_status") == "SUCCESS") & F.col("warehouse_size").isNotNull())
 
 
 def of_warehouse(rows: DataFrame, warehouse: str | None) -> DataFrame:

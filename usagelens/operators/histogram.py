@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,15 +12,28 @@ from ..functions.buckets import BucketFamily
 from ..functions.fixed_point import count_where, percent_text
 
 
-def histogram(
-    rows: DataFrame,
-    keys: Sequence[str],
-    family: BucketFamily,
-    value: str,
-    range_column: str,
-    digits: int,
-) -> DataFrame:
-    """Count rows per bucket of ``value`` for every group of ``keys``.
+@dataclass(frozen=True)
+class Histogram:
+    """What a histogram counts: rows that meet ``where``, by the bucket of ``value``."""
+
+    family: BucketFamily
+    value: str
+    where: str
+    range_column: str
+    digits: int
+
+    def shares(self, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """One row per bucket from groups with ``total_count_sql`` and a counter named after each bucket."""
+        unpivoted = counts.unpivot(
+            [*keys, "total_count_sql"], [f"`{label}`" for label in self.family.labels], self.range_column, "sql_count"
+        )
+        return unpivoted.selectExpr(
+            "*", f"{percent_text('sql_count', 'total_count_sql', self.digits)} AS percent_sql_count"
+        )
+
+
+def histogram(rows: DataFrame, keys: Sequence[str], of: Histogram) -> DataFrame:
+    """Count rows per bucket for every group of ``keys``.
 
     Buckets are counted as conditional aggregates and unpivoted afterwards, so empty buckets stay
     with count 0, and the total includes rows outside all buckets.  The map side reduces every group
@@ -27,14 +41,12 @@ def histogram(
     """
     counters = [
         F.expr(f"{count_where(condition)} AS `{label}`")
-        for condition, label in zip(family.conditions("bucket_value"), family.labels)
+        for condition, label in zip(of.family.conditions("bucket_value"), of.family.labels)
     ]
     counts = (
-        rows.selectExpr(*keys, f"{value} AS bucket_value")
+        rows.where(of.where)
+        .selectExpr(*keys, f"{of.value} AS bucket_value")
         .groupBy(*keys)
         .agg(F.expr("count(*) AS total_count_sql"), *counters)
     )
-    unpivoted = counts.unpivot(
-        [*keys, "total_count_sql"], [f"`{label}`" for label in family.labels], range_column, "sql_count"
-    )
-    return unpivoted.selectExpr("*", f"{percent_text('sql_count', 'total_count_sql', digits)} AS percent_sql_count")
+    return of.shares(counts, keys)

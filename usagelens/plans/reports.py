@@ -25,7 +25,7 @@ from ..functions.fixed_point import (
 from ..functions.period import Period
 from ..operators.base import GROUP_KEYS, of_warehouse, successful_queries
 from ..operators.detail import Page, RawBound, ranked
-from ..operators.histogram import histogram
+from ..operators.histogram import Histogram, histogram
 
 QUERY_COLUMNS = (*GROUP_KEYS, "query_id", "query_text")
 
@@ -54,59 +54,59 @@ def shared_warehouse_list(warehouses: DataFrame, view: str = "warehouse_list") -
 # --- Histograms -----------------------------------------------------------------------------------
 
 
+LOCAL_SPILL = Histogram(
+    buckets.LOCAL_SPILL, "bytes_spilled_to_local_storage", "bytes_scanned > 0", "local_spilled_size_range", 2
+)
+REMOTE_SPILL = Histogram(
+    buckets.REMOTE_SPILL, "bytes_spilled_to_remote_storage", "bytes_scanned > 0", "remote_spilled_size_range", 2
+)
+QUEUED = Histogram(buckets.QUEUED_RATIO, QUEUED_RATIO, "TRUE", "queued_percent_range", 2)
+TXBLOCKED = Histogram(buckets.TXBLOCKED_RATIO, TXBLOCKED_RATIO, "TRUE", "txblocked_percent_range", 2)
+ELAPSED = Histogram(buckets.ELAPSED, "total_elapsed_time", "total_elapsed_time > 0", "elapsed_time_range", 3)
+SCAN_SIZE = Histogram(buckets.SCAN_SIZE, "bytes_scanned", "bytes_scanned > 0", "scan_size_range", 1)
+PRUNED = Histogram(buckets.PRUNE_RATIO, PRUNE_RATIO, "partitions_total > 0", "scan_partition_ratio_range", 1)
+
+
 def local_spill_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per size of data spilled to local storage; only queries that scanned data."""
-    rows = successful_queries(history, period, warehouse).where("bytes_scanned > 0")
-    value = "bytes_spilled_to_local_storage"
-    return histogram(rows, GROUP_KEYS, buckets.LOCAL_SPILL, value, "local_spilled_size_range", 2)
+    return histogram(successful_queries(history, period, warehouse), GROUP_KEYS, LOCAL_SPILL)
 
 
 def remote_spill_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per size of data spilled to remote storage; only queries that scanned data."""
-    rows = successful_queries(history, period, warehouse).where("bytes_scanned > 0")
-    value = "bytes_spilled_to_remote_storage"
-    return histogram(rows, GROUP_KEYS, buckets.REMOTE_SPILL, value, "remote_spilled_size_range", 2)
+    return histogram(successful_queries(history, period, warehouse), GROUP_KEYS, REMOTE_SPILL)
 
 
 def queue_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per share of elapsed time spent in the queue."""
-    rows = successful_queries(history, period, warehouse)
-    return histogram(rows, GROUP_KEYS, buckets.QUEUED_RATIO, QUEUED_RATIO, "queued_percent_range", 2)
+    return histogram(successful_queries(history, period, warehouse), GROUP_KEYS, QUEUED)
 
 
 def txblock_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per share of elapsed time blocked by transactions."""
-    rows = successful_queries(history, period, warehouse)
-    return histogram(rows, GROUP_KEYS, buckets.TXBLOCKED_RATIO, TXBLOCKED_RATIO, "txblocked_percent_range", 2)
+    return histogram(successful_queries(history, period, warehouse), GROUP_KEYS, TXBLOCKED)
 
 
 def elapsed_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per elapsed time."""
-    rows = successful_queries(history, period, warehouse).where("total_elapsed_time > 0")
-    return histogram(rows, GROUP_KEYS, buckets.ELAPSED, "total_elapsed_time", "elapsed_time_range", 3)
+    return histogram(successful_queries(history, period, warehouse), GROUP_KEYS, ELAPSED)
 
 
 def scan_size_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per scanned size."""
-    rows = successful_queries(history, period, warehouse).where("bytes_scanned > 0")
-    return histogram(rows, GROUP_KEYS, buckets.SCAN_SIZE, "bytes_scanned", "scan_size_range", 1)
+    return histogram(successful_queries(history, period, warehouse), GROUP_KEYS, SCAN_SIZE)
 
 
 def prune_ratio_histogram(history: DataFrame, period: Period, warehouse: str | None = None) -> DataFrame:
     """Queries per share of partitions scanned; a share of exactly 0 is in no bucket."""
-    rows = successful_queries(history, period, warehouse).where("partitions_total > 0")
-    return histogram(rows, GROUP_KEYS, buckets.PRUNE_RATIO, PRUNE_RATIO, "scan_partition_ratio_range", 1)
+    return histogram(successful_queries(history, period, warehouse), GROUP_KEYS, PRUNED)
 
 
 def local_spill_histogram_by_start(
     history: DataFrame, period: Period, warehouse: str | None = None
 ) -> DataFrame:
     """The local-spill histogram per start time (stored and local)."""
-    rows = successful_queries(history, period, warehouse).where("bytes_scanned > 0")
-    value = "bytes_spilled_to_local_storage"
-    per_start = histogram(
-        rows, ("start_time", *GROUP_KEYS), buckets.LOCAL_SPILL, value, "local_spilled_size_range", 2
-    )
+    per_start = histogram(successful_queries(history, period, warehouse), ("start_time", *GROUP_KEYS), LOCAL_SPILL)
     # The local time follows from the stored one, so it need not be a grouping key.
     return per_start.selectExpr(
         "start_time",

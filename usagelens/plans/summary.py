@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_point import (
@@ -27,9 +27,28 @@ def credits_per_warehouse(metering: DataFrame, period: Period) -> DataFrame:
     )
 
 
+#: Queries that the summary counts.
+EXECUTED = "bytes_scanned > 0 AND total_elapsed_time > 0"
+
+
+def summary_counters(within: str = "TRUE") -> list[Column]:
+    """Additive figures of the summary, over the rows of a group that meet ``within``."""
+    large = f"{within} AND bytes_scanned > {GB}"
+    small = f"{within} AND NOT bytes_scanned > {GB}"
+    return [
+        F.expr(f"{count_where(within)} AS count_queries"),
+        F.expr(f"{count_where(large)} AS count_large"),
+        F.expr(f"{count_where(small)} AS count_small"),
+        F.expr(f"{exact_sum(f'CASE WHEN {large} THEN bytes_scanned END')} AS large_bytes"),
+        F.expr(f"{exact_sum(f'CASE WHEN {large} THEN total_elapsed_time END')} AS large_elapsed_ms"),
+        F.expr(f"{exact_sum(f'CASE WHEN {within} THEN execution_time END')} AS execution_ms"),
+        F.expr(f"count(CASE WHEN {within} THEN execution_time END) AS count_executed"),
+    ]
+
+
 def executed_queries(history: DataFrame, period: Period) -> DataFrame:
     """Queries of all warehouses that scanned data and took time."""
-    return successful_queries(history, period).where("bytes_scanned > 0 AND total_elapsed_time > 0")
+    return successful_queries(history, period).where(EXECUTED)
 
 
 def warehouse_summary(history: DataFrame, metering: DataFrame, period: Period) -> DataFrame:
@@ -39,20 +58,12 @@ def warehouse_summary(history: DataFrame, metering: DataFrame, period: Period) -
     Warehouses without credits in the window are left out.  Credits belong to the warehouse: when it
     ran in several sizes they repeat on every row and must not be added up.
     """
-    large = f"bytes_scanned > {GB}"
-    queries = (
-        executed_queries(history, period)
-        .groupBy(*GROUP_KEYS)
-        .agg(
-            F.expr("count(*) AS count_queries"),
-            F.expr(f"{count_where(large)} AS count_large"),
-            F.expr(f"{count_where(f'NOT {large}')} AS count_small"),
-            F.expr(f"{exact_sum(f'CASE WHEN {large} THEN bytes_scanned END')} AS large_bytes"),
-            F.expr(f"{exact_sum(f'CASE WHEN {large} THEN total_elapsed_time END')} AS large_elapsed_ms"),
-            F.expr(f"{exact_sum('execution_time')} AS execution_ms"),
-            F.expr("count(execution_time) AS count_executed"),
-        )
-    )
+    queries = executed_queries(history, period).groupBy(*GROUP_KEYS).agg(*summary_counters())
+    return summary_of(queries, metering, period)
+
+
+def summary_of(queries: DataFrame, metering: DataFrame, period: Period) -> DataFrame:
+    """The summary from one row of ``summary_counters`` per warehouse and size."""
     large_time = scaled_total("large_elapsed_ms", f"count_large * {MS_PER_SECOND}L", 0)
     all_time = scaled_total("execution_ms", f"count_executed * {MS_PER_SECOND}L", 0)
     return (
