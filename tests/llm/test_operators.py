@@ -641,3 +641,29 @@ def test_index_is_read_with_its_own_number_of_buckets(spark, table):
     assert again.read().count() == 3
     again.close()
     assert not [t for t in spark.catalog.listTables() if t.name in (first.table, again.table)]
+
+
+def test_batches_meet_stored_digests(spark, table):
+    """Later, shorter copies are removed by the anti-join with the index; the number of batches changes nothing."""
+    rows = AWKWARD + [(20 + i, " " * (i % 5) + f"text {i // 7}") for i in range(70)] + [(100, "text 3 " + " " * 40), (101, None)]
+    docs = clash(table(rows), "digest", "n_chars")
+    found = []
+    for batches in (1, 2, 3, 9):
+        index = exact_dedup.DigestIndex(spark, new_path(spark, "batches"), 4)
+        appended = []
+        plain = index.append
+
+        def counted(groups, index=index, plain=plain, appended=appended):
+            before = index.read().count()
+            plain(groups)
+            appended.append((groups.count(), index.read().count() - before))
+
+        index.append = counted
+        found.append(sorted(map(str, exact_dedup.classify(docs, index, batches=batches).collect())))
+        assert index.read().count() == index.read().select("digest").distinct().count()
+        if batches > 1:
+            assert any(new < groups for groups, new in appended[1:])
+        index.close()
+    assert all(f == found[0] for f in found)
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "batches"), 4)
+    assert exact_dedup.classify(table([]), index, batches=3).count() == 0

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,35 +85,58 @@ def _digested(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
+def _by_length(digests: DataFrame, batches: int) -> list[DataFrame]:
+    """The rows in about equal batches, those of the longest texts first; equal lengths stay together."""
+    if batches == 1:
+        return [digests]
+    shares = ", ".join(f"{k / batches}D" for k in range(1, batches))
+    cuts = digests.agg(F.expr(f"percentile_approx(n_chars, array({shares}))").alias("cuts")).first()["cuts"]
+    ends = [None, *sorted(set(cuts or ()), reverse=True), None]
+    found = []
+    for above, least in zip(ends, ends[1:]):
+        rows = digests if above is None else digests.where(F.col("n_chars") <= above)
+        found.append(rows if least is None else rows.where(F.col("n_chars") > least))
+    return found
+
+
 def ingest(
-    docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text", batches: int = 1
 ) -> tuple[DataFrame, DataFrame]:
-    """Deduplicate a batch within itself and against the index, and append what is new.
+    """Deduplicate documents within themselves and against the index, and append what is new.
+
+    Returns the rows (``id``, ``digest``, ``n_chars``) and their groups (``digest``, ``group_size``,
+    ``keep_id``), both stored.  Texts are equal when they are identical without white space; NULL counts
+    as empty.  Of a new group the row with the most code points in its original text stays, then the
+    smallest id (NULL last).  Of a group the index knows, the known id stays, so the documents may safely
+    be ingested again after a failure.
 
-    Returns the batch's rows (``id``, ``digest``, ``n_chars``) and its groups (``digest``,
-    ``group_size``, ``keep_id``), both stored.  Texts are equal when they are identical without white
-    space; NULL counts as empty.  Of a new group the row with the most code points in its original
-    text stays, then the smallest id (NULL last).  Of a group the index knows, the known id stays, so
-    a batch may safely be ingested again after a failure.
+    With ``batches`` they go to the index in that many parts, longest texts first, each anti-joined with
+    what the index holds by then.  The row that stays is in the first part that has its text, so the
+    number of parts changes no result; it bounds the rows that one append sorts.
 
     Rows that agree in id and text are one row to the index.  No column but the two named is read.
     """
     digests = stored(_digested(docs, id_column, text_column), "digests")
-    groups = stored(_groups(digests), "digest-groups")
-    index.append(groups)
-    resolved = groups.drop("keep_id").join(index.read(), "digest")
-    return digests, stored(resolved, "digest-resolved")
+    parts = []
+    for batch in _by_length(digests, batches):
+        groups = stored(_groups(batch), "digest-groups")
+        index.append(groups)
+        parts.append(groups.drop("keep_id"))
+    groups = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        groups = groups.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    return digests, stored(groups.join(index.read(), "digest"), "digest-resolved")
 
 
 def classify(
-    docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text", batches: int = 1
 ) -> DataFrame:
     """One row per document: ``id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     ``kept`` tells whether the row is the one that stays; repeated rows (same id, same text) agree.
     A group whose ids are all NULL keeps its rows.  An empty table gives an empty result.
     """
-    digests, resolved = ingest(docs, index, id_column, text_column)
+    digests, resolved = ingest(docs, index, id_column, text_column, batches)
     # Both sides are plain stored tables, so a large group's rows are split by the skew join.
     return digests.join(resolved, "digest").select(
         "id",
@@ -124,13 +148,13 @@ def classify(
 
 
 def deduplicate(
-    docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text", batches: int = 1
 ) -> DataFrame:
     """The documents that stay, with all their columns: one row per text, also of repeated rows.
 
     The rows are found by digest and id together, which spreads a large group of copies.
     """
-    _, resolved = ingest(docs, index, id_column, text_column)
+    _, resolved = ingest(docs, index, id_column, text_column, batches)
     key = f"__digest_{uuid.uuid4().hex}"
     keys = resolved.select(F.col("digest").alias(key), F.col("keep_id").alias(f"{key}_id"))
     marked = docs.withColumn(key, text_digest(text_column))

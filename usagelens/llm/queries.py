@@ -20,6 +20,8 @@ END_OF_TEXT = 1
 SEPARATOR = 49407
 #: Bytes of a record of a page; longer pages are several records, as ordinary ones are.
 SEGMENT_BYTES = 1 << 12
+#: Parts in which documents meet the digest index, so that later ones are held against stored digests.
+BATCHES = 3
 #: How often a document of a small source may repeat for each time one of a large source appears.
 REPETITION = 2.0
 
@@ -89,7 +91,7 @@ def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.classify(docs, fresh_index(spark)).withColumnRenamed("id", "doc_id")
+    return exact_dedup.classify(docs, fresh_index(spark), batches=BATCHES).withColumnRenamed("id", "doc_id")
 
 
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
