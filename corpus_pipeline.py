@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from usagelens.llm import exact_dedup, mixing, near_dedup, packing, quality
-from usagelens.llm.queries import CAPACITY, END_OF_TEXT, REPETITION, fresh_index, vocabulary, words_of
+from usagelens.llm.queries import BATCHES, CAPACITY, END_OF_TEXT, REPETITION, fresh_index, vocabulary, words_of
 from usagelens.llm.tables import read, stored
 
 
@@ -19,7 +19,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text that is equal but for white space."""
-    return exact_dedup.deduplicate(docs, fresh_index(spark))
+    return exact_dedup.deduplicate(docs, fresh_index(spark), batches=BATCHES)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
