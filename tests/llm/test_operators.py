@@ -3,6 +3,7 @@ extra columns; and their parts against the plain way."""
 
 from __future__ import annotations
 
+import time
 import gzip
 import io
 import math
@@ -515,6 +516,19 @@ def test_window_entropy(spark, table):
         assert (x.e[0], x.e[1]) == ((high[0], high[-1] + 20) if high else (None, None))
 
 
+def test_secrets_of_very_long_texts(spark, table):
+    """A megabyte of base64, and a hundred thousand matches: the time grows with the length, not its square."""
+    rng = random.Random(4)
+    base64 = "".join(rng.choices(secrets.CLASSES["entropy_base64"].alphabet, k=1_000_000))
+    keys = [f"token={rng.getrandbits(64):016x}" for _ in range(100_000)]
+    strings = ["".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkm23456789", k=24)) for _ in range(20_000)]
+    for text, kind, least in ((base64, "entropy_base64", 1), (" ".join(keys), "assign", len(keys)), (" ".join(strings), "entropy_base64", 19_000)):
+        begun = time.monotonic()
+        row = secrets.scan(table([(1, text)])).select(F.size(F.filter("found", lambda s: s["kind"] == kind)).alias("n")).first()
+        assert row.n >= least
+        assert time.monotonic() - begun < 30
+
+
 # --- Exact copies -------------------------------------------------------------------------------------
 
 

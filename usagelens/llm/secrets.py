@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +66,8 @@ LETTER_BITS = 4.0
 #: dropped and the others are looked at each by itself.
 _EDGE = "[-_+=/]"
 PLACEHOLDER = f"(?i)(^|{_EDGE})(example|sample|placeholder|dummy|changeme|x{{4,}}|abcdef|123456)({_EDGE}|$)"
+#: Numbers that are summed in one go.
+BLOCK = 64
 SPAN = "array<struct<start:int,end:int,body:string>>"
 
 
@@ -72,22 +76,49 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _ends(lengths: Column) -> Column:
+    """Running sums.  An array that grows by one is copied whole, so sums run within blocks, then over blocks."""
+
+    def running(numbers: Column) -> Column:
+        grown = lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n))
+        return F.aggregate(numbers, F.array().cast("array<int>"), grown)
+
+    def blocks(numbers: Column) -> Column:
+        # By place: a slice would copy all numbers before it takes its own.
+        last = F.size(numbers) - 1
+        return F.transform(
+            F.sequence(F.lit(0), last, F.lit(BLOCK)),
+            lambda i: running(F.transform(F.sequence(i, F.least(i + (BLOCK - 1), last)), lambda j: F.get(numbers, j))),
+        )
+
+    def joined(b: Column) -> Column:
+        def shifted(over: Column) -> Column:
+            def shift(block: Column, k: Column) -> Column:
+                before = F.when(k == 0, 0).otherwise(F.get(over, k - 1))
+                return F.transform(block, lambda x: x + before)
+
+            return F.flatten(F.transform(b, shift))
+
+        return _bound(running(F.transform(b, lambda block: F.element_at(block, F.lit(-1)))), shifted)
+
+    return _bound(_bound(lengths, blocks), joined)
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their places, in code points."""
+    """Leftmost non-overlapping matches with their places, in code points, in order."""
     # A text without a match is one part; so is every text that the first replacement leaves alone.
     parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
 
-    def step(a: Column, part: Column) -> Column:
-        end = a["at"] + F.length(part)
-        span = F.struct(a["at"].alias("start"), end.alias("end"), part.alias("body"))
-        spans = F.when(a["inside"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"])
-        return F.struct(end.alias("at"), (~a["inside"]).alias("inside"), spans.cast(SPAN).alias("spans"))
+    def spans(p: Column) -> Column:
+        def odd(e: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)),
+                lambda i: F.struct(F.get(e, i - 1).alias("start"), F.get(e, i).alias("end"), F.get(p, i).alias("body")),
+            )
+
+        return _bound(_ends(F.transform(p, lambda part: F.length(part))), odd)
 
-    empty = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("spans"))
-    return _bound(
-        parts, lambda p: F.when(F.size(p) == 1, empty).otherwise(F.aggregate(p, start, step, lambda a: a["spans"]))
-    )
+    return _bound(parts, lambda p: F.when(F.size(p) == 1, F.array().cast(SPAN)).otherwise(spans(p).cast(SPAN)))
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -102,44 +133,82 @@ def window_entropy(body: Column, of: CharacterClass) -> Column:
     """First and last place (end exclusive) of the windows of ``body`` with enough entropy, NULL if none.
 
     Counts per character slide along: one character enters, one leaves, and the sum of c log2 c over
-    the counts changes by the terms of these two alone.
+    the counts changes by the terms of these two alone.  The counts are a text of one letter per
+    character of the class, in which two places are overlaid per step.
     """
     w = of.window
     terms = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(w + 2)])
+    levels = "".join(chr(ord("A") + c) for c in range(w + 2))
+    level = F.array(*[F.lit(c) for c in levels])
     enough = (math.log2(w) - of.bits) * w + 1e-9
-    at = lambda i: F.instr(F.lit(of.alphabet), F.substring(body, i + 1, F.lit(1))) - 1
-
-    def step(a: Column, i: Column) -> Column:
-        def moved(pair: Column) -> Column:
-            enters, leaves = pair["enters"], pair["leaves"]
-            gone = F.coalesce(F.get(a["counts"], leaves), F.lit(0))
-            without = F.when(
-                leaves >= 0, a["total"] - F.get(terms, gone) + F.get(terms, gone - 1)
-            ).otherwise(a["total"])
-            had = F.get(a["counts"], enters) - (enters == leaves).cast("int")
-            total = without - F.get(terms, had) + F.get(terms, had + 1)
-            counts = F.transform(
-                a["counts"], lambda c, k: c + (k == enters).cast("int") - (k == leaves).cast("int")
-            )
-            high = (i >= w - 1) & (total <= enough)
-            return F.struct(
-                counts.alias("counts"),
-                total.alias("total"),
-                F.when(high & a["first"].isNull(), i - (w - 1)).otherwise(a["first"]).alias("first"),
-                F.when(high, i + 1).otherwise(a["last"]).alias("last"),
-            )
 
-        leaves = F.when(i >= w, at(i - w)).otherwise(F.lit(-1))
-        return _bound(F.struct(at(i).alias("enters"), leaves.alias("leaves")), moved)
+    def count_at(counts: Column, place: Column) -> Column:
+        return F.ascii(F.substring(counts, place, F.lit(1))) - ord("A")
+
+    def put(counts: Column, place: Column, count: Column) -> Column:
+        return F.overlay(counts, F.get(level, count), place, F.lit(1))
+
+    def slid(places: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            def left(old: Column) -> Column:
+                gone = count_at(a["counts"], old)
+                return F.when(
+                    old > 0,
+                    F.struct(
+                        put(a["counts"], old, gone - 1).alias("counts"),
+                        (a["total"] - F.get(terms, gone) + F.get(terms, gone - 1)).alias("total"),
+                    ),
+                ).otherwise(F.struct(a["counts"].alias("counts"), a["total"].alias("total")))
+
+            def entered(b: Column) -> Column:
+                new = F.get(places, i)
+                return _bound(
+                    count_at(b["counts"], new),
+                    lambda had: F.struct(
+                        put(b["counts"], new, had + 1).alias("counts"),
+                        (b["total"] - F.get(terms, had) + F.get(terms, had + 1)).alias("total"),
+                    ),
+                )
+
+            def noted(b: Column) -> Column:
+                high = (i >= w - 1) & (b["total"] <= enough)
+                return F.struct(
+                    b["counts"].alias("counts"),
+                    b["total"].alias("total"),
+                    F.when(high & a["first"].isNull(), i - (w - 1)).otherwise(a["first"]).alias("first"),
+                    F.when(high, i + 1).otherwise(a["last"]).alias("last"),
+                )
+
+            old = F.when(i >= w, F.get(places, i - w)).otherwise(F.lit(0))
+            return _bound(_bound(_bound(old, left), entered), noted)
+
+        none = F.lit(None).cast("int")
+        start = F.struct(
+            F.lit("A" * len(of.alphabet)).alias("counts"), F.lit(0.0).alias("total"), none.alias("first"), none.alias("last")
+        )
+        every = F.sequence(F.lit(0), F.size(places) - 1)
+        return F.aggregate(every, start, step, lambda a: F.struct(a["first"], a["last"]))
 
-    none = F.lit(None).cast("int")
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(of.alphabet)).alias("counts"),
-        F.lit(0.0).alias("total"),
-        none.alias("first"),
-        none.alias("last"),
-    )
-    return F.aggregate(F.sequence(F.lit(0), F.length(body) - 1), start, step, lambda a: F.struct(a["first"], a["last"]))
+    # Each character's place in the alphabet, so that none is looked for from the start of the text.
+    return _bound(F.transform(F.split(body, ""), lambda c: F.instr(F.lit(of.alphabet), c)), slid)
+
+
+def _meets(spans: Column, span: Column) -> Column:
+    """Whether ``span`` meets one of ``spans``, which are in order and apart: the first that ends behind its start."""
+
+    def halved(a: Column, _: Column) -> Column:
+        middle = F.shiftright(a["low"] + a["high"], 1)
+        behind = F.get(spans, middle)["end"] > span["start"]
+        open_ = a["low"] < a["high"]
+        return F.struct(
+            F.when(open_ & ~behind, middle + 1).otherwise(a["low"]).alias("low"),
+            F.when(open_ & behind, middle).otherwise(a["high"]).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    bounds = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    first = F.get(spans, F.aggregate(steps, bounds, halved, lambda a: a["low"]))
+    return F.when(F.size(spans) == 0, False).otherwise(F.coalesce(first["start"] < span["end"], F.lit(False)))
 
 
 def _entropy_spans(text: Column, kind: str) -> Column:
@@ -215,20 +284,18 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         *[_base(F.col("text"), kind).alias(kind) for kind in BASE],
         *[_entropy_spans(F.col("text"), kind).alias(kind) for kind in CLASSES],
     )
-    base = F.array_sort(F.concat(*[_tagged(F.col(k), k, kinds.index(k)) for k in BASE]))
-    rows = rows.select("id", base.alias("base"), *CLASSES)
-
-    def apart(kind: str, held: Column) -> Column:
-        return F.filter(
-            F.col(kind), lambda s: ~F.exists(held, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        )
+    # Of one kind, spans are apart and in order; those of different kinds may meet.
+    def apart(kind: str, held: list[str]) -> Column:
+        return F.filter(kind, lambda s: ~reduce(or_, [_meets(F.col(k), s) for k in held]))
 
-    held = F.col("base")
     for kind in CLASSES:
-        added = F.concat(held, _tagged(apart(kind, held), kind, kinds.index(kind)))
-        rows = rows.select("id", "base", added.alias("found"), *CLASSES)
-        held = F.col("found")
-    return rows.select("id", "base", F.array_sort("found").alias("found"))
+        rows = rows.withColumn(kind, apart(kind, kinds[: kinds.index(kind)]))
+    tagged = {kind: _tagged(F.col(kind), kind, rank) for rank, kind in enumerate(kinds)}
+    return rows.select(
+        "id",
+        F.array_sort(F.concat(*[tagged[k] for k in BASE])).alias("base"),
+        F.array_sort(F.concat(*tagged.values())).alias("found"),
+    )
 
 
 def digests(scanned: DataFrame) -> DataFrame:
