@@ -569,6 +569,12 @@ def test_exact_deduplicate(spark, table):
     out = exact_dedup.deduplicate(docs, index)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [3, 4, 6, 7, 8]
+    # Texts are shuffled once: the window takes the rows as the join leaves them.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    unnamed = table([(None, "x y"), (None, "xy"), (0, "zz"), (0, "zz"), (None, "xy")])
+    left = exact_dedup.deduplicate(unnamed, exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4), batches=2)
+    assert {(r.doc_id, r.text.replace(" ", "")) for r in left.collect()} == {(0, "zz"), (None, "xy")} and left.count() == 2
 
 
 # --- WARC ---------------------------------------------------------------------------------------------

@@ -156,11 +156,16 @@ def deduplicate(
     """
     _, resolved = ingest(docs, index, id_column, text_column, batches)
     key = f"__digest_{uuid.uuid4().hex}"
-    keys = resolved.select(F.col("digest").alias(key), F.col("keep_id").alias(f"{key}_id"))
-    marked = docs.withColumn(key, text_digest(text_column))
-    found = marked.join(
-        keys.withColumnRenamed(key, f"{key}_r"),
-        F.col(key).eqNullSafe(F.col(f"{key}_r")) & F.col(id_column).eqNullSafe(F.col(f"{key}_id")),
-    )
-    first = F.row_number().over(Window.partitionBy(key, id_column).orderBy(F.lit(0)))
-    return found.withColumn(f"{key}_n", first).where(F.col(f"{key}_n") == 1).select(*docs.columns)
+    names = [key, f"{key}_id", f"{key}_unnamed"]
+
+    def of(digest: Column, name: Column) -> list[Column]:
+        found = (digest, F.coalesce(name.cast("long"), F.lit(0)), name.isNull())
+        return [c.alias(n) for c, n in zip(found, names)]
+
+    keys = resolved.select(*of(F.col("digest"), F.col("keep_id")))
+    marked = docs.select("*", *of(text_digest(text_column), F.col(id_column)))
+    # Plain equalities of columns that are never NULL: the window then finds its rows where the join left
+    # them, and texts are shuffled once.
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
+    found = marked.join(keys, names).withColumn(f"{key}_n", first)
+    return found.where(F.col(f"{key}_n") == 1).select(*docs.columns)
