@@ -46,6 +46,20 @@ def test_round_trip_of_blocks():
         range_coder.encode([np.array([range_coder.LARGEST_ID + 1], np.uint16)])
 
 
+def test_coded_words_stay_as_they_were():
+    """Files that were written before can be read."""
+    words = range_coder.encode(sorted(blocks_of_all_kinds(), key=len, reverse=True))
+    assert zlib.crc32(np.concatenate(words).astype("<u4").tobytes()) == 2119303459
+
+
+def test_halved_weights():
+    r = random.Random(7)
+    for _ in range(300):
+        weights = [r.choice([1, 2, 3, r.randrange(1, 101)]) for _ in range(range_coder.PREDICTORS)]
+        found = range_coder._halved(np.array([range_coder._packed(tuple(weights))], np.uint64))
+        assert found.tolist() == [range_coder._packed(tuple((w + 1) // 2 for w in weights))], weights
+
+
 def test_predictions_shorten_a_text():
     text = " ".join(random.Random(2).choice(["the river", "of stone", "a field of", "and light"]) for _ in range(2000))
     ids = np.frombuffer(ByteTokenizer(VOCABULARY).encode(text), "<u2")[: range_coder.BLOCK]
@@ -87,6 +101,67 @@ def test_byte_tokenizer_is_the_tokenizer():
         assert np.frombuffer(own.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+class Counted:
+    """A tokenizer, or its model, that counts the calls for ids."""
+
+    calls = 0
+
+    def __init__(self, inner):
+        object.__setattr__(self, "inner", inner)
+
+    def __setattr__(self, name, value):
+        setattr(self.inner, name, value)
+
+    def __getattr__(self, name):
+        found = getattr(self.inner, name)
+        if name == "model":
+            return Counted(found)
+
+        def call(*values, **named):
+            Counted.calls += 1
+            return found(*values, **named)
+
+        return call if name.startswith(("encode", "tokenize")) else found
+
+
+def test_new_words_are_asked_about_together(monkeypatch):
+    import tokenizers
+
+    whole = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("", (), {"from_file": lambda path: Counted(whole.from_file(path))}))
+    r, own = random.Random(4), ByteTokenizer(VOCABULARY)
+    words = ["".join(r.choices("abdeilnorstué", k=9)) + r.choice(["", ".", "7", ",\n"]) for _ in range(4000)]
+    text, Counted.calls = " ".join(words).replace("\n ", "\n").strip(), 0
+    found = np.frombuffer(own.encode(text), "<u2").tolist()
+    assert Counted.calls < 20
+    assert found == whole.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("together, asked, cached", [(1, 1, 1), (300, 3, 40), (1 << 24, 1 << 10, 700_000)])
+def test_many_texts_together(monkeypatch, together, asked, cached):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from usagelens.llm import tokens
+
+    for name, value in (("TOGETHER", together), ("ASKED", asked), ("CACHE_WORDS", cached)):
+        monkeypatch.setattr(tokens, name, value)
+    whole, own = Tokenizer.from_file(VOCABULARY), ByteTokenizer(VOCABULARY)
+    r = random.Random(6)
+    pieces = ["the", "The", "rivière", "naïve,", "a.b", "42", "\nstone", "\nétat!", "x  y", "\n\n", " ", "\t", "don't", "日本",
+              "<|endoftext|>", "\n<|endoftext|>", "a<|endoftext|>", "\u00a0é", "end ", "\r\n", "?!", "ªº", "×÷", "Ġ", "Ċ"]
+    texts = [" ".join(r.choices(pieces[: r.choice([8, len(pieces)])], k=r.randrange(12))) for _ in range(600)]
+    texts += ["", " ", "\n", *(t for _, t in AWKWARD if t), "", "\n\n", ""]
+    for end in (b"", b"\0\0"):
+        found = list(own.encode_all(pa.array(["unread", *texts])[1:], end))
+        ids, counts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        every = np.split(ids, np.cumsum(counts)[:-1])
+        for text, got in zip(texts, every, strict=True):
+            assert got.tolist() == whole.encode(text, add_special_tokens=False).ids + [0] * (len(end) // 2), text
+    assert list(own.encode_all(pa.array([], pa.string()))) == []
+    assert own.encode("") == ByteTokenizer(VOCABULARY).encode("") == b""
+
+
 def test_awkward_documents(spark, table, monkeypatch):
     from tokenizers import Tokenizer
 

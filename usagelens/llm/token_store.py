@@ -129,12 +129,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
 
     NULL ids come first; rows of one id are in the order of their texts' hashes, which also spreads an id
     that many rows have over the files.  NULL and empty texts are the end alone.  Other columns are not
-    read.  A task holds the ids of ``LANES`` blocks, or of one document if it has more.
+    read.  A task holds the ids of ``LANES`` blocks and the texts that are encoded together, or one document
+    if it has more.
     """
 
     def encoded(batches):
         part = TaskContext.get().partitionId()
-        encode, end = byte_tokenizer(vocabulary).encode, end_id.to_bytes(2, "little")
+        tokenizer, end = byte_tokenizer(vocabulary), end_id.to_bytes(2, "little")
         groups: list[tuple[list[int | None], list[np.ndarray]]] = []
         size, written = GROUP_IDS, 0
 
@@ -144,18 +145,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if size >= GROUP_IDS:
-                    if len(groups) * GROUP_IDS >= LANES * BLOCK:
-                        yield flushed()
-                        written += len(groups)
-                        groups.clear()
-                    groups.append(([], []))
-                    size = 0
-                ids = np.frombuffer(encode(text.as_py()) + end, "<u2")
-                groups[-1][0].append(doc_id)
-                groups[-1][1].append(ids)
-                size += len(ids)
+            doc_ids = iter(batch.column(0).to_pylist())
+            for ids, counts in tokenizer.encode_all(batch.column(1), end):
+                for count, stop in zip(counts.tolist(), np.cumsum(counts).tolist()):
+                    if size >= GROUP_IDS:
+                        if len(groups) * GROUP_IDS >= LANES * BLOCK:
+                            yield flushed()
+                            written += len(groups)
+                            groups.clear()
+                        groups.append(([], []))
+                        size = 0
+                    groups[-1][0].append(next(doc_ids))
+                    groups[-1][1].append(ids[stop - count : stop])
+                    size += count
         if groups:
             yield flushed()
 
